@@ -40,17 +40,21 @@ U64 = np.uint64
 
 @dataclass(frozen=True)
 class ChosenPath:
-    """``shingle`` words; similarity in hundredths; trees; signature length; most classes compared exhaustively; depth of branching."""
+    """``shingle`` words; similarity in hundredths; trees; signature length; most classes compared exhaustively; rows of a block of what stays large."""
 
     shingle: int = 5
     similarity: int = 80
     trees: int = 12
     signature: int = 64
-    node_limit: int = 200
-    depth: int = 4
+    node_limit: int = 600
+    block: int = 100
     sketch_slack: float = 4.2
     seed: int = 1
 
+    def depth(self, classes: int) -> int:
+        """Levels of branching: more for more classes, as what common shingles put together shrinks by a factor each."""
+        return 1 + int(np.ceil(np.log10(max(classes, 10)) / 2.5))
+
     def least_equal(self) -> int:
         """Equal sketch bytes that a linked pair reaches but for ``sketch_slack`` standard deviations."""
         p, n = self.similarity / 100, self.signature
@@ -244,23 +248,21 @@ def confirm(members: DataFrame, docs: DataFrame, cfg: ChosenPath) -> DataFrame:
 
 
 def _blocks(large: DataFrame, cfg: ChosenPath) -> DataFrame:
-    """node, doc_id, n, leader -> the same with a block, of about half the limit; the leader in every block."""
-    blocks = F.greatest(F.lit(1), F.ceil(F.col("n") / (cfg.node_limit // 2))).cast("long")
+    """node, doc_id, n, leader -> the same with a block; the leader in every block."""
+    blocks = F.greatest(F.lit(1), F.ceil(F.col("n") / cfg.block)).cast("long")
     own = large.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("doc_id", "node"), F.col("blocks")))
     extra = large.where("doc_id = leader").withColumn("blocks", blocks).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     return own.where("doc_id != leader").unionByName(extra)
 
 
-def _large_nodes(large: DataFrame, docs: DataFrame, scratch: Scratch, cfg: ChosenPath) -> list[DataFrame]:
-    """Exact links of nodes that branching left large."""
-    blocks = scratch.write("blocks", _blocks(large, cfg))
-    first = scratch.write("tied", confirm(blocks.withColumn("cand", F.xxhash64("node", "block")), docs, cfg))
-    links = [first.where("b is not null").select("a", "b")]
+def _loose(first: DataFrame, blocks: DataFrame, docs: DataFrame, scratch: Scratch, cfg: ChosenPath) -> list[DataFrame]:
+    """Exact links of the classes that their block doesn't tie to the leader of a large node."""
+    links: list[DataFrame] = []
     loose = first.where("b is null").select("node", F.col("a").alias("doc_id"))
     if loose.limit(1).count():
         # every loose class is a query against every block of its node, in chunks
         count = loose.groupBy("node").agg(F.count("*").alias("r"))
-        chunk = F.ceil(F.col("r") / (cfg.node_limit // 2)).cast("long")
+        chunk = F.ceil(F.col("r") / cfg.block).cast("long")
         sized = count.withColumn("chunks", chunk).select("node", "chunks")
         width = blocks.select("node", "blocks").distinct()
         asked = loose.join(sized, "node").withColumn("chunk", F.pmod(F.xxhash64("doc_id", F.lit(7)), F.col("chunks"))).join(width, "node")
@@ -283,11 +285,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sigs = scratch.write("signatures", sigs.select("doc_id", "sig"))
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
-    links: list[DataFrame] = []
     smalls: list[DataFrame] = []
     level = roots(sigs, cfg)
     large = None
-    for depth in range(cfg.depth):
+    depths = cfg.depth(sigs.count())
+    for depth in range(depths):
         sizes = level.groupBy("node").agg(F.count("*").alias("n"), F.min("doc_id").alias("leader")).where("n > 1")
         nodes = scratch.write(f"level{depth}", level.join(sizes, "node"))
         smalls.append(nodes.where(F.col("n") <= cfg.node_limit).select("node", "doc_id"))
@@ -295,19 +297,28 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         if not large.limit(1).count():
             large = None
             break
-        level = branch(large, sigs, cfg)
+        if depth + 1 < depths:
+            level = branch(large, sigs, cfg)
     small = smalls[0]
     for more in smalls[1:]:
         small = small.unionByName(more)
-    cands = candidates(small, sigs, cfg).select("cand", "doc_id", F.lit(None).cast("long").alias("node"), F.lit(None).cast("long").alias("leader"))
-    links.append(confirm(cands, texts, cfg).where("b is not null").select("a", "b"))
+    none = F.lit(None).cast("long")
+    members = candidates(small, sigs, cfg).select("cand", "doc_id", none.alias("node"), none.alias("leader"))
+    if large is not None:
+        blocks = scratch.write("blocks", _blocks(large.select("node", "doc_id", "n", "leader"), cfg))
+        members = members.unionByName(blocks.select(F.xxhash64("node", "block").alias("cand"), "doc_id", "node", "leader"))
+    members = scratch.write("members", members)
+    # the texts of those to be compared leave the table once
+    texts = scratch.write("texts", texts.join(members.select("doc_id").distinct(), "doc_id", "left_semi"))
+    first = scratch.write("confirmed", confirm(members, texts, cfg))
+    links = [first.where("b is not null").select("a", "b")]
     if large is not None:
-        links += _large_nodes(large.select("node", "doc_id", "n", "leader"), texts, scratch, cfg)
+        links += _loose(first, blocks, texts, scratch, cfg)
     every = links[0]
     for more in links[1:]:
         every = every.unionByName(more)
     every = scratch.write("links", every.distinct())
-    scratch.drop("signatures", *[f"level{d}" for d in range(cfg.depth)])
+    scratch.drop("signatures", "texts", "members", *[f"level{d}" for d in range(depths)])
     found = connected_components(every, scratch)
     joined = made.select("doc_id", "n_shingles", "d1", "d2").join(classes.select("d1", "d2", "class_id"), ["d1", "d2"], "left")
     joined = joined.join(found.withColumnRenamed("id", "class_id"), "class_id", "left")
