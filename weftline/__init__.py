@@ -1,0 +1 @@
+"""Graphs, their documents and training data as Spark DataFrames."""
