@@ -20,6 +20,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weftline.llm.scratch import Scratch
+
 
 def line_key(line: Column) -> Column:
     """64-bit hash of the line's words in lower case; null for a line without words."""
@@ -38,9 +40,12 @@ def _rows(docs: DataFrame, id_col: str, text_col: str, site_col: str) -> DataFra
     return keyed.select("doc_id", "site", F.explode(around).alias("x")).select("doc_id", "site", "x.*").where("key is not null")
 
 
-def boilerplate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", min_sites: int = 5, min_fresh: float = 0.5, band: float = 0.25, precision: int = 12) -> DataFrame:
+def boilerplate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", **how) -> DataFrame:
     """key, sites, occurrences and first_id (the smallest id that has it) of boilerplate lines."""
-    lines = _rows(docs, id_col, text_col, site_col)
+    return _spread(_rows(docs, id_col, text_col, site_col), **how)
+
+
+def _spread(lines: DataFrame, min_sites: int = 5, min_fresh: float = 0.5, band: float = 0.25, precision: int = 12) -> DataFrame:
     spread = lines.groupBy("key").agg(
         F.hll_sketch_estimate(F.hll_sketch_agg("site", F.lit(precision))).alias("estimate"), F.hll_sketch_estimate(F.hll_sketch_agg("context", F.lit(precision))).alias("contexts"), F.count("*").alias("occurrences"), F.min("doc_id").alias("first_id")
     )
@@ -53,8 +58,10 @@ def boilerplate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def removals(docs: DataFrame, id_col: str, text_col: str, site_col: str, **how) -> DataFrame:
     """doc_id and the keys of its lines to be removed."""
-    spread = boilerplate(docs, id_col, text_col, site_col, **how)
-    own = _rows(docs, id_col, text_col, site_col).select("doc_id", "key").where("doc_id is not null")
+    # the lines of every text are keyed once; sketches, exact counts and removals read the keys
+    lines = Scratch(docs.sparkSession, "lines").write("lines", _rows(docs, id_col, text_col, site_col))
+    spread = _spread(lines, **how)
+    own = lines.select("doc_id", "key").where("doc_id is not null")
     hit = own.join(spread.select("key", "first_id"), "key").where("doc_id != first_id")
     return hit.groupBy("doc_id").agg(F.collect_set("key").alias("keys"))
 
@@ -65,7 +72,8 @@ def drop_boilerplate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     joined = docs.join(gone, F.col(id_col).cast("long") == F.col("_id"), "left")
     lines = F.split(F.col(text_col), "\n", -1)
     kept = F.filter(lines, lambda x: ~F.coalesce(F.array_contains("_keys", line_key(x)), F.lit(False)))
-    text = F.when(F.col("_keys").isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))
-    removed = F.when(F.col("_keys").isNull() | F.col(text_col).isNull(), 0).otherwise(F.size(lines) - F.size(kept)).cast("long")
+    joined = joined.withColumn("_kept", F.when(F.col("_keys").isNotNull(), kept))
+    text = F.when(F.col("_kept").isNull(), F.col(text_col)).otherwise(F.array_join("_kept", "\n"))
+    removed = F.when(F.col("_kept").isNull(), 0).otherwise(F.size(lines) - F.size("_kept")).cast("long")
     others = [F.col(c) for c in docs.columns if c != text_col]
     return joined.select(*others, removed.alias("line_n_removed"), text.alias(text_col)).select(*docs.columns, "line_n_removed")
