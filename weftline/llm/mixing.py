@@ -57,8 +57,9 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     rate = F.when(F.col("mix_source_size") > 0, F.col("mix_target") / F.col("mix_source_size")).otherwise(F.lit(0.0))
     whole = F.floor(rate)
     copies = (whole + (uniform(F.concat(F.lit(seed + ":"), key)) < rate - whole).cast("long")).cast("long")
-    joined = docs.join(plan, F.col(source_col).eqNullSafe(F.col("_source")), "left")
-    return joined.withColumn("mix_size", words_in(F.col(text_col))).withColumn("mix_copies", copies).drop("_source")
+    # sized before the join, so that a caller that needs no texts moves none
+    joined = docs.withColumn("mix_size", words_in(F.col(text_col))).join(plan, F.col(source_col).eqNullSafe(F.col("_source")), "left")
+    return joined.withColumn("mix_copies", copies).drop("_source")
 
 
 def emitted(docs: DataFrame, **how) -> DataFrame:
