@@ -103,6 +103,17 @@ def test_lm(docs):
     assert all(r.score <= 0 for r in got) and lm.score(docs.limit(0)).count() == 0
 
 
+def test_lm_joined(docs):
+    """Counts joined by key, with few of them broadcast, give what the filter gives."""
+    by = lambda got: sorted(((r.doc_id is None, r.doc_id, r.n_tokens, r.n_known, r.base_score, r.score) for r in got.collect()), key=str)
+    one = by(lm.score(docs, cfg=lm.LogBloom(bits=40)))
+    for cfg in (lm.LogBloom(most_broadcast=0, frequent_limit=30), lm.LogBloom(most_segments=0, frequent_limit=0), lm.LogBloom(most_segments=0)):
+        two = by(lm.score(docs, cfg=cfg))
+        assert [x[:4] for x in one] == [x[:4] for x in two]
+        assert np.allclose([x[4] for x in one], [x[4] for x in two], rtol=1e-9) and np.allclose([x[5] for x in one], [x[5] for x in two], rtol=1e-3)
+    assert lm.score(docs.limit(0), cfg=lm.LogBloom(most_segments=0)).count() == 0
+
+
 def test_lines(spark):
     rows = [(k, f"body {k} a\nAll  Rights\nbody {k} b", f"s{k % 8}") for k in range(40)] + [(100 + k, "same text\nof copies", f"s{k}") for k in range(8)] + [(200, None, "s1"), (None, "all rights", "s2"), (201, "", None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
