@@ -159,10 +159,11 @@ def test_chat(spark):
         assert got[key].loss_sha256 == hashlib.sha256(loss.encode()).hexdigest() and got[key].loss_chars == len(loss) and got[key].n_turns == len(turns)
 
 
-def test_html(spark):
+@pytest.mark.parametrize("bound", [1 << 20, -1])
+def test_html(spark, bound):
     body = lambda k: f"<nav>menu</nav><div class=box>Same notice</div><div class=story><h1>T{k} &amp; x</h1><p>p{k}<br>b  c<p>d{k}</div><div id=comments>bad</div><footer>f"
     pages = [(k, "http://h.example/x", body(k)) for k in range(5)] + [(8, None, None), (9, "odd", "<article class=post><header><h1>H</h1></header><p>Same<script>var t='</p>'</script> text<aside>no</aside></article>out")]
-    got = {r.page_id: r.text for r in html.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    got = {r.page_id: r.text for r in html.extract(spark.createDataFrame(pages, "page_id long, url string, html string"), most_broadcast=bound).collect()}
     assert all(got[k] == f"T{k} & x\np{k} b c\nd{k}" for k in range(5)) and got[8] == "" and got[9] == "H\nSame text"
 
 
