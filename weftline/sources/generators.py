@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -55,6 +57,59 @@ def lattice(spark: SparkSession, side: int, graphs: int = 1) -> DataFrame:
     return ends.select("graph_id", F.least("k", "to").alias("src"), F.greatest("k", "to").alias("dst"), F.lit(1.0).alias("weight")).where("src < dst").distinct()
 
 
+def _simple(ends: DataFrame) -> DataFrame:
+    pairs = ends.select("graph_id", F.least("u", "v").alias("src"), F.greatest("u", "v").alias("dst")).where("src < dst")
+    return pairs.distinct().withColumn("weight", F.lit(1.0))
+
+
+def small_world(sized: DataFrame, k: int = 4, p: float = 0.1, seed: int = 0) -> DataFrame:
+    """A ring of ``k`` nearest neighbours whose far ends move with probability ``p``; an edge that lands on another merges with it."""
+    ring = sized.select("graph_id", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("u")).select("*", F.explode(F.sequence(F.lit(1), F.lit(max(k // 2, 1)))).alias("j"))
+    far = F.floor(draw(seed, "graph_id", "u", "j", F.lit("to")) * (F.col("n") - 1)) + 1
+    hop = F.when(draw(seed, "graph_id", "u", "j", F.lit("move")) < p, far).otherwise(F.col("j"))
+    return _simple(ring.select("graph_id", "u", ((F.col("u") + hop) % F.col("n")).alias("v")))
+
+
+def tree(sized: DataFrame, seed: int = 0) -> DataFrame:
+    """A random recursive tree: every node but the first hangs on an earlier one."""
+    below = nodes(sized).where("node_id > 0")
+    return _simple(below.select("graph_id", F.floor(draw(seed, "graph_id", "node_id") * F.col("node_id")).alias("u"), F.col("node_id").alias("v")))
+
+
+def regular(sized: DataFrame, degree: int = 4, seed: int = 0) -> DataFrame:
+    """Every node with ``degree`` neighbours (even, below n): a circulant over nodes in hashed order."""
+    place = F.row_number().over(Window.partitionBy("graph_id").orderBy(draw(seed, "graph_id", "node_id"), "node_id")) - 1
+    placed = nodes(sized).withColumn("at", place).join(sized, "graph_id")
+    near = placed.select("graph_id", F.col("node_id").alias("u"), F.explode(F.transform(F.sequence(F.lit(1), F.lit(degree // 2)), lambda j: (F.col("at") + j) % F.col("n"))).alias("to"))
+    return _simple(near.join(placed.select("graph_id", F.col("at").cast("long").alias("to"), F.col("node_id").alias("v")), ["graph_id", "to"]))
+
+
+def preferential(sized: DataFrame, m: int = 3, seed: int = 0) -> DataFrame:
+    """Each node joins ``m`` earlier ones drawn by degree. Sequential, so a graph is made in one task."""
+
+    def grow(batches):
+        for batch in batches:
+            for graph, n in batch[["graph_id", "n"]].itertuples(index=False):
+                rng = np.random.default_rng([seed, int(graph)])
+                ends, rows = list(range(min(m, n))), []
+                for x in range(m, n):
+                    chosen: set[int] = set()
+                    while len(chosen) < m:
+                        chosen.add(ends[int(rng.integers(len(ends)))])
+                    rows += [(graph, y, x, 1.0) for y in sorted(chosen)]
+                    ends += [*sorted(chosen), *[x] * m]
+                yield pd.DataFrame(rows, columns=["graph_id", "src", "dst", "weight"])
+
+    return sized.select("graph_id", "n").mapInPandas(grow, "graph_id long, src long, dst long, weight double")
+
+
+def hypergraph(sized: DataFrame, hyperedges: int, size: int, seed: int = 0) -> DataFrame:
+    """graph_id, hyperedge_id, node_id: members drawn with replacement, repeats merged."""
+    each = sized.select("graph_id", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(hyperedges - 1).cast("long"))).alias("hyperedge_id"))
+    member = each.select("*", F.explode(F.sequence(F.lit(1), F.lit(size))).alias("j"))
+    return member.select("graph_id", "hyperedge_id", F.floor(draw(seed, "graph_id", "hyperedge_id", "j") * F.col("n")).alias("node_id")).distinct()
+
+
 def weights(edges: DataFrame, kind: str = "unit", seed: int = 0, **p: float) -> DataFrame:
     """``edges`` with weights of a distribution by name."""
     u, v = draw(seed, "graph_id", "src", "dst", F.lit("u")), draw(seed, "graph_id", "src", "dst", F.lit("v"))

@@ -39,10 +39,61 @@ def dimacs(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return nodes, canonical(edges)
 
 
+def _headed(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """The words of each file's first line that is no comment, and of the lines after it, by place in the file."""
+    rows = spark.read.text(path).select(F.input_file_name().alias("graph_id"), F.trim("value").alias("line"), F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row")).alias("k"))
+    rows = rows.where(~F.col("line").rlike("^[%#]") & (F.col("line") != "")).select("graph_id", "k", F.split("line", r"\s+").alias("p"))
+    head = rows.groupBy("graph_id").agg(F.min("k").alias("head"), F.min_by("p", "k").alias("p"))
+    return head.select("graph_id", "p"), rows.join(head.select("graph_id", "head"), "graph_id").where("k > head").select("graph_id", "p")
+
+
+def _numbered(body: DataFrame, less: int = 1) -> DataFrame:
+    at = lambda k: F.col("p")[k].cast("long") - less
+    return canonical(body.where(F.size("p") >= 2).select("graph_id", at(0).alias("u"), at(1).alias("v"), F.coalesce(F.get("p", 2).try_cast("double"), F.lit(1.0)).alias("weight")))
+
+
 def matrix_market(spark: SparkSession, path: str) -> DataFrame:
     """Coordinate entries below the size line; 1-based indices become 0-based."""
-    rows = _lines(spark, path).where(~F.col("line").startswith("%")).withColumn("p", F.split("line", r"\s+"))
-    entries = rows.withColumn("k", F.monotonically_increasing_id())
-    head = entries.groupBy("graph_id").agg(F.min("k").alias("head"))
-    body = entries.join(head, "graph_id").where("k > head")
-    return canonical(body.select("graph_id", (F.col("p")[0].cast("long") - 1).alias("u"), (F.col("p")[1].cast("long") - 1).alias("v"), F.coalesce(F.get("p", 2).try_cast("double"), F.lit(1.0)).alias("weight")))
+    return _numbered(_headed(spark, path)[1])
+
+
+def gset(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Nodes 0..n-1 of the first line's n, and 1-based ``u v [w]`` edges as 0-based."""
+    head, body = _headed(spark, path)
+    return head.select("graph_id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("p")[0].cast("long") - 1)).alias("node_id")), _numbered(body)
+
+
+def _whole(spark: SparkSession, path: str) -> DataFrame:
+    """One row a file: formats with nesting or sections; a file must fit in a task."""
+    return spark.read.text(path, wholetext=True).select(F.input_file_name().alias("graph_id"), F.col("value").alias("text"))
+
+
+def gml(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Node ids and edges of ``node [ id .. ]`` and ``edge [ source .. target .. value|weight .. ]`` blocks."""
+    of = _whole(spark, path)
+    number = lambda c, name: F.nullif(F.regexp_extract(c, rf"\b(?:{name})\s+([-+0-9.eE]+)", 1), F.lit(""))
+    block = lambda kind: F.explode(F.regexp_extract_all("text", F.lit(rf"\b{kind}\s*\[([^\[\]]*)"), 1)).alias("b")
+    nodes = of.select("graph_id", block("node")).select("graph_id", number("b", "id").cast("long").alias("node_id"))
+    edges = of.select("graph_id", block("edge")).select("graph_id", number("b", "source").cast("long").alias("u"), number("b", "target").cast("long").alias("v"), F.coalesce(number("b", "value|weight").try_cast("double"), F.lit(1.0)).alias("weight"))
+    return nodes, canonical(edges)
+
+
+def graphml(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Node ids and edges; the weight is the edge datum whose key is declared with attr.name weight."""
+    attribute = lambda c, name: F.regexp_extract(c, rf"\b{name}\s*=\s*[\"']([^\"']*)", 1)
+    of = _whole(spark, path).withColumn("key", attribute(F.regexp_extract("text", r"<key\b[^>]*attr\.name\s*=\s*[\"']weight[\"'][^>]*>", 0), "id"))
+    nodes = of.select("graph_id", F.explode(F.regexp_extract_all("text", F.lit(r"<node\b([^>]*)"), 1)).alias("b")).select("graph_id", attribute("b", "id").alias("node_id"))
+    edge = of.select("graph_id", "key", F.explode(F.regexp_extract_all("text", F.lit(r"(?s)<edge\b(?:[^>]*/>|.*?</edge>)"), 0)).alias("b"))
+    data = F.regexp_extract_all("b", F.lit(r"(?s)<data\b[^>]*>[^<]*"), 0)
+    mine = F.get(F.filter(data, lambda d: attribute(d, "key") == F.col("key")), F.lit(0))
+    weight = F.coalesce(F.trim(F.regexp_extract(mine, r"(?s)>(.*)", 1)).try_cast("double"), F.lit(1.0))
+    return nodes, canonical(edge.select("graph_id", attribute("b", "source").alias("u"), attribute("b", "target").alias("v"), weight.alias("weight")))
+
+
+def pajek(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Nodes 0..n-1 of ``*Vertices n``, and the lines of ``*Edges`` and ``*Arcs`` sections, 1-based, as 0-based."""
+    part = _whole(spark, path).select("graph_id", F.explode(F.split("text", r"(?m)^\s*\*")).alias("s")).select("graph_id", F.split(F.trim("s"), r"\s*\n\s*").alias("lines"))
+    named = part.withColumn("p", F.split(F.lower(F.col("lines")[0]), r"\s+"))
+    nodes = named.where("p[0] = 'vertices'").select("graph_id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("p")[1].cast("long") - 1)).alias("node_id"))
+    lines = named.where("p[0] in ('edges', 'arcs') and size(lines) > 1").select("graph_id", F.explode(F.slice("lines", 2, F.size("lines") - 1)).alias("line"))
+    return nodes, _numbered(lines.where("line != ''").select("graph_id", F.split("line", r"\s+").alias("p")))
