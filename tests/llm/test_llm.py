@@ -190,3 +190,15 @@ def test_mixing(docs):
     emitted = mixing.emitted(docs)
     assert emitted.columns == [*docs.columns, "copy"] and emitted.count() == sum(r.mix_copies for r in got)
     assert mixing.mix(docs.limit(0)).count() == 0
+
+
+def test_clashing_columns(spark):
+    """Helper columns never take the place of a caller's; columns that an operator adds do."""
+    names = ["_id", "_keys", "_kept", "_source", "Source_", "sig", "mix_size", "copy", "line_n_removed"]
+    rows = [(k, f"line of {k}\nshared line here", f"s{k % 6}", *[f"{n}{k}" for n in names]) for k in range(12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, " + ", ".join(f"`{n}` string" for n in names))
+    own = {r.doc_id: r for r in line_dedup.drop_boilerplate(docs).collect()}
+    assert sum(r.line_n_removed for r in own.values()) == 11 and all(r[n] == f"{n}{k}" for k, r in own.items() for n in names[:-1])
+    mixed = mixing.emitted(docs)
+    assert mixed.columns.count("copy") == 1 and "mix_size" not in mixed.columns
+    assert all(r.copy >= 1 and r["_source"] == f"_source{r.doc_id}" and r["_id"] == f"_id{r.doc_id}" for r in mixed.collect())

@@ -12,7 +12,8 @@ every other is removed.
 Defined results: null texts stay null; empty lines are never boilerplate; a null
 site counts as a site of its own; rows with a null id keep all lines; repeated
 rows count as occurrences, and lose the same lines; a document none of whose lines
-is left has an empty text.
+is left has an empty text; a column named line_n_removed gives way to the added
+one, any other keeps its name and values.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftline.llm.scratch import Scratch
+from weftline.llm.textkit import unused, without
 
 
 def line_key(line: Column) -> Column:
@@ -68,12 +70,14 @@ def removals(docs: DataFrame, id_col: str, text_col: str, site_col: str, **how)
 
 def drop_boilerplate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", **how) -> DataFrame:
     """``docs`` with boilerplate lines removed from the text, and line_n_removed."""
-    gone = removals(docs, id_col, text_col, site_col, **how).select(F.col("doc_id").alias("_id"), F.col("keys").alias("_keys"))
-    joined = docs.join(gone, F.col(id_col).cast("long") == F.col("_id"), "left")
+    docs = without(docs, "line_n_removed")
+    own, keys, kept = unused(docs, "id"), unused(docs, "keys"), unused(docs, "kept")
+    gone = removals(docs, id_col, text_col, site_col, **how).select(F.col("doc_id").alias(own), F.col("keys").alias(keys))
+    joined = docs.join(gone, F.col(id_col).cast("long") == F.col(own), "left")
     lines = F.split(F.col(text_col), "\n", -1)
-    kept = F.filter(lines, lambda x: ~F.coalesce(F.array_contains("_keys", line_key(x)), F.lit(False)))
-    joined = joined.withColumn("_kept", F.when(F.col("_keys").isNotNull(), kept))
-    text = F.when(F.col("_kept").isNull(), F.col(text_col)).otherwise(F.array_join("_kept", "\n"))
-    removed = F.when(F.col("_kept").isNull(), 0).otherwise(F.size(lines) - F.size("_kept")).cast("long")
+    left = F.filter(lines, lambda x: ~F.coalesce(F.array_contains(keys, line_key(x)), F.lit(False)))
+    joined = joined.withColumn(kept, F.when(F.col(keys).isNotNull(), left))
+    text = F.when(F.col(kept).isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))
+    removed = F.when(F.col(kept).isNull(), 0).otherwise(F.size(lines) - F.size(kept)).cast("long")
     others = [F.col(c) for c in docs.columns if c != text_col]
     return joined.select(*others, removed.alias("line_n_removed"), text.alias(text_col)).select(*docs.columns, "line_n_removed")

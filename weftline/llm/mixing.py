@@ -9,7 +9,8 @@ and once more if a hash of its id falls under the fraction.
 
 Defined results: a null or empty text has size 0 and is taken 0 words; a null
 source is a source of its own, the last; a null id is hashed as 'null'; repeated
-rows are emitted alike; an empty table gives no rows.
+rows are emitted alike; an empty table gives no rows; a column of ``docs`` that
+has the name of an added one gives way to it, any other keeps its name and values.
 """
 
 from __future__ import annotations
@@ -17,6 +18,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from weftline.llm.textkit import unused, without
+
 WORD = "[^\\x20\\x09-\\x0D]+"
 
 
@@ -51,18 +54,21 @@ def targets(sized: DataFrame, weights: tuple[float, ...], share: float, most: fl
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0, seed: str = "mix") -> DataFrame:
     """Every row of ``docs`` with mix_size, mix_source_size, mix_target and mix_copies."""
+    docs = without(docs, "mix_size", "mix_source_size", "mix_target", "mix_copies")
+    own = unused(docs, "source")
     key = F.coalesce(F.col(id_col).cast("string"), F.lit("null"))
     sized = docs.select(F.col(source_col).alias("source"), words_in(F.col(text_col)).alias("size"))
-    plan = targets(sized, weights, share, most).select(F.col("source").alias("_source"), F.col("source_size").alias("mix_source_size"), F.col("target").alias("mix_target"))
+    plan = targets(sized, weights, share, most).select(F.col("source").alias(own), F.col("source_size").alias("mix_source_size"), F.col("target").alias("mix_target"))
     rate = F.when(F.col("mix_source_size") > 0, F.col("mix_target") / F.col("mix_source_size")).otherwise(F.lit(0.0))
     whole = F.floor(rate)
     copies = (whole + (uniform(F.concat(F.lit(seed + ":"), key)) < rate - whole).cast("long")).cast("long")
     # sized before the join, so that a caller that needs no texts moves none
-    joined = docs.withColumn("mix_size", words_in(F.col(text_col))).join(plan, F.col(source_col).eqNullSafe(F.col("_source")), "left")
-    return joined.withColumn("mix_copies", copies).drop("_source")
+    joined = docs.withColumn("mix_size", words_in(F.col(text_col))).join(plan, F.col(source_col).eqNullSafe(F.col(own)), "left")
+    return joined.withColumn("mix_copies", copies).drop(own)
 
 
 def emitted(docs: DataFrame, **how) -> DataFrame:
     """The mix itself: each row of ``docs`` as often as it is taken, with copy from 1."""
+    docs = without(docs, "copy")
     mixed = mix(docs, **how).where("mix_copies > 0")
-    return mixed.select(*docs.columns, F.explode(F.sequence(F.lit(1).cast("long"), "mix_copies")).alias("copy"))
+    return mixed.select(*without(docs, "mix_size", "mix_source_size", "mix_target", "mix_copies").columns, F.explode(F.sequence(F.lit(1).cast("long"), "mix_copies")).alias("copy"))

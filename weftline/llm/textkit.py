@@ -168,3 +168,16 @@ def whole_groups(batches, key: str) -> Iterator[pa.Table]:
         last = tail
     if held:
         yield pa.Table.from_batches(held)
+
+
+def unused(table, name: str) -> str:
+    """``name``, with underscores before it until no column of ``table`` is called so."""
+    taken = {c.lower() for c in table.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
+def without(table, *names: str):
+    """``table`` less any columns called so, for an operator that adds them."""
+    return table.drop(*[c for c in table.columns if c.lower() in {n.lower() for n in names}])
