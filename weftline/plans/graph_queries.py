@@ -297,13 +297,13 @@ def nstep_return(spark, sf_dir):
     return W.nstep(table(spark, sf_dir, "events"), "user_id", ["ts", "event_id"], "value", 3, 0.9).select("event_id", _r("nstep_return").alias("nstep_return"), "terminal")
 
 
-@query("select event_id, round(sum(value) over (partition by user_id order by ts, event_id rows between current row and 2 following), 6) difference, max(value) over (partition by user_id order by ts, event_id rows unbounded preceding) best, round(avg(value) over (partition by user_id order by ts, event_id rows 99 preceding), 6) average from events", view=False)
+@query("select event_id, round(sum(value) over (partition by user_id order by ts, event_id rows between current row and 2 following), 6) difference, max(value) over (partition by user_id order by ts, event_id rows unbounded preceding) best, round(avg(value) over (partition by user_id order by ts, event_id rows 99 preceding), 9) average from events", view=False)
 def window_returns(spark, sf_dir):
-    """Suffix-sum differences, running best and moving average of 100."""
+    """Suffix-sum differences, running best and moving average of 100 (to 9 places: means of cents can end on a 5 in the seventh)."""
     key, order = "user_id", ["ts", "event_id"]
     e = table(spark, sf_dir, "events")
     out = W.moving_average(W.running_best(W.suffix_difference(e, key, order, "value", 3), key, order, "value"), key, order, "value", 100)
-    return out.select("event_id", _r("difference").alias("difference"), "best", _r("average").alias("average"))
+    return out.select("event_id", _r("difference").alias("difference"), "best", _r("average", 9).alias("average"))
 
 
 @query("select event_id, round((value - avg(value) over w) / sqrt(var_pop(value) over w + 1e-6), 6) z from events window w as (partition by event_type)", view=False)
