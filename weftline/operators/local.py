@@ -12,6 +12,7 @@ from collections.abc import Callable, Iterable
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 def per_graph(nodes: DataFrame, edges: DataFrame, kernel: Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], Iterable[tuple]], schema: str) -> DataFrame:
@@ -25,7 +26,8 @@ def per_graph(nodes: DataFrame, edges: DataFrame, kernel: Callable[[np.ndarray,
         out.insert(0, names[0], key[0])
         return out
 
-    return nodes.select("graph_id", "node_id").groupBy("graph_id").cogroup(edges.select("graph_id", "src", "dst", "weight").groupBy("graph_id")).applyInPandas(run, schema)
+    own = nodes.select(F.col("graph_id").alias("graph_id"), F.col("node_id").alias("node_id"))  # new names, as nodes may be made from edges
+    return own.groupBy("graph_id").cogroup(edges.select("graph_id", "src", "dst", "weight").groupBy("graph_id")).applyInPandas(run, schema)
 
 
 class Union:
