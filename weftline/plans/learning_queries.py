@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from weftline.operators import graph as G
+from weftline.operators import layout as P
+from weftline.operators import learners as T
 from weftline.operators import returns as R
 from weftline.operators import segments as S
+from weftline.operators import text as X
 from weftline.plans.graph_queries import _brand, _r, query
 from weftline.plans.views import brand_nodes, table
 
@@ -139,3 +142,25 @@ def edge_products(spark, sf_dir):
     n, e = _brand(spark, sf_dir)
     of = G.edge_states(e, G.degree(n, e), "degree")
     return of.groupBy("graph_id").agg((2 * F.count("*")).alias("walks"), _r(F.avg(F.col("a") * F.col("b"))).alias("mean_product"))
+
+
+@query()
+def trained_policies(spark, sf_dir):
+    """Validation returns of every learner before and after training on random graphs; reads no table."""
+    return T.sweep(spark, [(k, "cover", 0) for k in T.LEARNERS])
+
+
+_BLANKS = "trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '([A-Za-z])-\\n([a-z])', '\\1\\2', 'g'), '[ \\t]+\\n', chr(10), 'g'), '[ \\t]{2,}', ' ', 'g'), '\\n{3,}', chr(10) || chr(10), 'g'))"
+
+
+@query(f"select doc_id, length(x)::int n, md5(x) digest from (select doc_id, {_BLANKS} x from documents)", view=False)
+def dehyphenated_text(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", X.clean(F.col("text")).alias("x")).select("doc_id", F.length("x").alias("n"), F.md5("x").alias("digest"))
+
+
+@query()
+def stripped_furniture(spark, sf_dir):
+    """Documents less the lines whose form recurs on a hundredth of them, as digests."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    keys = X.furniture(docs.select(F.col("doc_id").alias("page"), F.explode(F.split("text", "\n")).alias("line")), share=0.01)
+    return P.strip(docs, keys, ["doc_id"]).select("doc_id", F.length("text").alias("n"), F.md5("text").alias("digest"))
