@@ -44,27 +44,44 @@ def _rows(docs: DataFrame, id_col: str, text_col: str, site_col: str) -> DataFra
 
 def boilerplate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", **how) -> DataFrame:
     """key, sites, occurrences and first_id (the smallest id that has it) of boilerplate lines."""
-    return _spread(_rows(docs, id_col, text_col, site_col), **how)
+    scratch = Scratch(docs.sparkSession, "lines")
+    return _spread(scratch.write("lines", _rows(docs, id_col, text_col, site_col)), scratch, **how)
 
 
-def _spread(lines: DataFrame, min_sites: int = 5, min_fresh: float = 0.5, band: float = 0.25, precision: int = 12) -> DataFrame:
+def _matched(rows: DataFrame, keys: DataFrame, often: int) -> DataFrame:
+    """``rows`` joined with ``keys``; no key brings more than ``often`` rows to one task.
+
+    Keys of more occurrences are joined by broadcast: with ``often`` a thousandth of all rows, there are fewer than a thousand.
+    """
+    hot = F.broadcast(keys.where(F.col("occurrences") > often))
+    calm = rows.join(hot.select("key"), "key", "left_anti")
+    return rows.join(hot, "key").unionByName(calm.join(keys.where(F.col("occurrences") <= often), "key"))
+
+
+def _spread(lines: DataFrame, scratch: Scratch, min_sites: int = 5, min_fresh: float = 0.5, band: float = 0.25, precision: int = 12) -> DataFrame:
     spread = lines.groupBy("key").agg(
         F.hll_sketch_estimate(F.hll_sketch_agg("site", F.lit(precision))).alias("estimate"), F.hll_sketch_estimate(F.hll_sketch_agg("context", F.lit(precision))).alias("contexts"), F.count("*").alias("occurrences"), F.min("doc_id").alias("first_id")
     )
-    fresh = spread.where((F.col("estimate") >= min_sites * (1 - band)) & (F.col("contexts") >= min_fresh * F.col("occurrences")))
-    near = fresh.where(F.col("estimate") <= min_sites * (1 + band)).select("key")
-    exact = lines.select("key", "site").join(near, "key", "left_semi").distinct().groupBy("key").agg(F.count("*").alias("exact"))
+    # few of all keys; written, as exact counts and removals read them several times
+    fresh = scratch.write("fresh", spread.where((F.col("estimate") >= min_sites * (1 - band)) & (F.col("contexts") >= min_fresh * F.col("occurrences"))))
+    near = fresh.where(F.col("estimate") <= min_sites * (1 + band)).select("key", "occurrences")
+    exact = _matched(lines.select("key", "site"), near, _often(lines)).select("key", "site").distinct().groupBy("key").agg(F.count("*").alias("exact"))
     sites = F.coalesce("exact", "estimate").cast("long")
     return fresh.join(exact, "key", "left").withColumn("sites", sites).where(F.col("sites") >= min_sites).select("key", "sites", "occurrences", "first_id")
 
 
+def _often(lines: DataFrame) -> int:
+    return max(lines.count() // 1000, 1)
+
+
 def removals(docs: DataFrame, id_col: str, text_col: str, site_col: str, **how) -> DataFrame:
     """doc_id and the keys of its lines to be removed."""
     # the lines of every text are keyed once; sketches, exact counts and removals read the keys
-    lines = Scratch(docs.sparkSession, "lines").write("lines", _rows(docs, id_col, text_col, site_col))
-    spread = _spread(lines, **how)
+    scratch = Scratch(docs.sparkSession, "lines")
+    lines = scratch.write("lines", _rows(docs, id_col, text_col, site_col))
+    spread = scratch.write("spread", _spread(lines, scratch, **how))
     own = lines.select("doc_id", "key").where("doc_id is not null")
-    hit = own.join(spread.select("key", "first_id"), "key").where("doc_id != first_id")
+    hit = _matched(own, spread.select("key", "first_id", "occurrences"), _often(lines)).where("doc_id != first_id")
     return hit.groupBy("doc_id").agg(F.collect_set("key").alias("keys"))
 
 
