@@ -167,6 +167,19 @@ def test_html(spark, bound):
     assert all(got[k] == f"T{k} & x\np{k} b c\nd{k}" for k in range(5)) and got[8] == "" and got[9] == "H\nSame text"
 
 
+def extracted(spark, pages, **how):
+    rows = spark.createDataFrame([(k, "http://h.example/x", p) for k, p in enumerate(pages)], "page_id long, url string, html string")
+    return [r.text for r in sorted(html.extract(rows, **how).collect(), key=lambda r: r.page_id)]
+
+
+def test_html_odd_first_page(spark):
+    """Template nodes of layouts that the first page lacks are learnt, in any order of the pages."""
+    odd = "<div class=error>Gone</div>"
+    pages = [f"<div class=l{'ab'[k % 2]}><section class=same>Notice {'ab'[k % 2]}</section><section>text {k}</section></div>" for k in range(8)]
+    want = ["Gone", *(f"text {k}" for k in range(8))]
+    assert extracted(spark, [odd, *pages]) == want and extracted(spark, [*pages[::-1], odd]) == want[::-1]
+
+
 def test_mixing(docs):
     rows = docs.collect()
     got = mixing.mix(docs).collect()
