@@ -172,6 +172,13 @@ def extracted(spark, pages, **how):
     return [r.text for r in sorted(html.extract(rows, **how).collect(), key=lambda r: r.page_id)]
 
 
+def test_html_template_in_article(spark):
+    """Constant blocks within an article go; a repeated article stays."""
+    copy = "<article><h1>Copy</h1><div>of one</div></article>"
+    pages = [f"<article><h1>T{k}</h1><div class=x>Licence line</div><div>text {k}</div></article>" for k in range(4)]
+    assert extracted(spark, pages + [copy] * 4) == [f"T{k}\ntext {k}" for k in range(4)] + ["Copy\nof one"] * 4
+
+
 def test_html_odd_first_page(spark):
     """Template nodes of layouts that the first page lacks are learnt, in any order of the pages."""
     odd = "<div class=error>Gone</div>"
