@@ -187,6 +187,14 @@ def test_html_odd_first_page(spark):
     assert extracted(spark, [odd, *pages]) == want and extracted(spark, [*pages[::-1], odd]) == want[::-1]
 
 
+def test_html_deep_and_among_siblings(spark):
+    """Constants nested deeper than 12, or among varying siblings of one label, are template."""
+    deep = lambda x: "<div>" * 20 + x + "</div>" * 20
+    pages = [deep(f"<p>a{k}</p><p>Share this</p>" + f"<p>b{k}</p>" * (k % 3) + "<span class=y><h6>Deep notice</h6></span>") for k in range(6)]
+    assert extracted(spark, pages) == ["\n".join([f"a{k}", *[f"b{k}"] * (k % 3)]) for k in range(6)]
+    assert html.main_text("<div>" * 3000 + "x") == "x" and html.unpacked(html.packed(html.skeleton(html.blocks("<div>" * 3000 + "x"))))[3]
+
+
 def test_mixing(docs):
     rows = docs.collect()
     got = mixing.mix(docs).collect()
