@@ -122,6 +122,16 @@ def test_lines(spark):
     assert all(got[100 + k].line_n_removed == 0 for k in range(8)) and got[200].text is None and got[None].text == "all rights"
 
 
+def test_lines_of_blocks(spark):
+    """Three-line footers, lines between blank lines and lines that also ride in many copies are boilerplate; copies alone are not."""
+    foot = "foot one\nfoot two\nfoot three"
+    texts = [f"body {k}\n{foot}\n\nalone\n\nend {k}\nrides" for k in range(10)]
+    copies = ["copied\nrides\nof all"] * 60
+    docs = spark.createDataFrame([(k, t, f"s{k % 10}") for k, t in enumerate(texts + copies)], "doc_id long, text string, source string")
+    got = [r.text for r in sorted(line_dedup.drop_boilerplate(docs).collect(), key=lambda r: r.doc_id)]
+    assert got == texts[:1] + [f"body {k}\n\n\nend {k}" for k in range(1, 10)] + ["copied\nof all"] * 60
+
+
 @pytest.mark.parametrize("bound", [1 << 20, 0])
 def test_decontamination(spark, bound):
     item = " ".join(f"Q{k}" for k in range(20))

@@ -1,12 +1,11 @@
 """Line deduplication by distinct-site spread.
 
 A line is keyed by a hash of its words, lower-cased. A HyperLogLog sketch of its
-sites per key, merged by the aggregation, estimates on how many sites it occurs;
-keys whose estimate lies within ``band`` of the threshold are counted exactly. A
-second sketch counts the contexts (the lines before and after): a line spread by
-copies of whole documents keeps its neighbours, boilerplate has others each time.
-Lines on at least ``min_sites`` sites whose contexts are at least ``min_fresh``
-of their occurrences are boilerplate. Their first occurrence, by smallest id, stays;
+sites per key, merged by the aggregation, estimates on how many sites it occurs. A
+second sketch counts the different texts it occurs in, as a document copied to many
+sites is one text. Keys for which either estimate lies within ``band`` of the
+threshold are counted exactly. Lines on at least ``min_sites`` sites, in as many
+different texts, are boilerplate. Their first occurrence, by smallest id, stays;
 every other is removed.
 
 Defined results: null texts stay null; empty lines are never boilerplate; a null
@@ -36,10 +35,9 @@ def line_keys(text: Column) -> Column:
 
 
 def _rows(docs: DataFrame, id_col: str, text_col: str, site_col: str) -> DataFrame:
-    """doc_id, site, key and context of every line that has words."""
+    """doc_id, site, body (a hash of the text's line keys) and key of every line that has words."""
     keyed = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(site_col).cast("string"), F.lit("\0")).alias("site"), line_keys(F.col(text_col)).alias("keys"))
-    around = F.transform("keys", lambda k, i: F.struct(k.alias("key"), F.xxhash64(F.get("keys", i - 1), F.get("keys", i + 1)).alias("context")))
-    return keyed.select("doc_id", "site", F.explode(around).alias("x")).select("doc_id", "site", "x.*").where("key is not null")
+    return keyed.select("doc_id", "site", F.xxhash64("keys").alias("body"), F.explode("keys").alias("key")).where("key is not null")
 
 
 def boilerplate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", **how) -> DataFrame:
@@ -58,16 +56,19 @@ def _matched(rows: DataFrame, keys: DataFrame, often: int) -> DataFrame:
     return rows.join(hot, "key").unionByName(calm.join(keys.where(F.col("occurrences") <= often), "key"))
 
 
-def _spread(lines: DataFrame, scratch: Scratch, min_sites: int = 5, min_fresh: float = 0.5, band: float = 0.25, precision: int = 12) -> DataFrame:
-    spread = lines.groupBy("key").agg(
-        F.hll_sketch_estimate(F.hll_sketch_agg("site", F.lit(precision))).alias("estimate"), F.hll_sketch_estimate(F.hll_sketch_agg("context", F.lit(precision))).alias("contexts"), F.count("*").alias("occurrences"), F.min("doc_id").alias("first_id")
-    )
+def _spread(lines: DataFrame, scratch: Scratch, min_sites: int = 5, band: float = 0.25, precision: int = 12) -> DataFrame:
+    estimate = lambda c: F.hll_sketch_estimate(F.hll_sketch_agg(c, F.lit(precision)))
+    spread = lines.groupBy("key").agg(estimate("site").alias("site_estimate"), estimate("body").alias("body_estimate"), F.count("*").alias("occurrences"), F.min("doc_id").alias("first_id"))
+    least = F.least("site_estimate", "body_estimate")
     # few of all keys; written, as exact counts and removals read them several times
-    fresh = scratch.write("fresh", spread.where((F.col("estimate") >= min_sites * (1 - band)) & (F.col("contexts") >= min_fresh * F.col("occurrences"))))
-    near = fresh.where(F.col("estimate") <= min_sites * (1 + band)).select("key", "occurrences")
-    exact = _matched(lines.select("key", "site"), near, _often(lines)).select("key", "site").distinct().groupBy("key").agg(F.count("*").alias("exact"))
-    sites = F.coalesce("exact", "estimate").cast("long")
-    return fresh.join(exact, "key", "left").withColumn("sites", sites).where(F.col("sites") >= min_sites).select("key", "sites", "occurrences", "first_id")
+    wide = scratch.write("wide", spread.where(least >= min_sites * (1 - band)))
+    near = wide.where(least <= min_sites * (1 + band)).select("key", "occurrences")
+    seen = _matched(lines.select("key", "site", "body"), near, _often(lines))
+    exact = lambda c: seen.select("key", c).distinct().groupBy("key").agg(F.count("*").alias(f"{c}_exact"))
+    counted = wide.join(exact("site"), "key", "left").join(exact("body"), "key", "left")
+    count = lambda c: F.coalesce(f"{c}_exact", f"{c}_estimate").cast("long")
+    counted = counted.withColumn("sites", count("site")).where((F.col("sites") >= min_sites) & (count("body") >= min_sites))
+    return counted.select("key", "sites", "occurrences", "first_id")
 
 
 def _often(lines: DataFrame) -> int:
