@@ -97,3 +97,21 @@ def test_steady_state(spark):
     got = {r.k: r for r in D.steady_state(spark.createDataFrame(rows, "k long, t long, v double"), ["k"], "t", "v").collect()}
     assert got[0].steady == 5.0 and got[0].settled and got[1].steady == 6.0 and not got[1].settled and got[1].drift == 5.0
     assert got[2].steady == 1.0 and got[2].settled is None
+
+
+def test_registered_closeness_is_computed_after_each_removal(spark, monkeypatch):
+    """Also on graphs of more than 200 nodes."""
+    from weftline.plans import attack_queries as Q
+
+    edges = [(k, (k * 7 + 3) % 260) for k in range(260)] + [(k, k // 2) for k in range(1, 260)]
+    edges = sorted({(min(e), max(e)) for e in edges if e[0] != e[1]})
+    nodes = spark.createDataFrame([("g", k) for k in range(260)], "graph_id string, node_id long")
+    links = spark.createDataFrame([("g", a, b, 1) for a, b in edges], "graph_id string, src long, dst long, weight long")
+    monkeypatch.setattr(Q, "_brand", lambda *_: (nodes, links))
+    near = [set() for _ in range(260)]
+    for a, b in edges:
+        near[a].add(b)
+        near[b].add(a)
+    every, second = (A.robustness(near, A.attack_order(near, A.SCORES["closeness"], k)) for k in (1, 2))
+    got = Q.QUERIES["attack_closeness"](spark, "").first()
+    assert every != second and abs(got.nd - every[0]) < 1e-9 and abs(got.cn - every[1]) < 1e-9
