@@ -114,6 +114,18 @@ def test_lm_joined(docs):
     assert lm.score(docs.limit(0), cfg=lm.LogBloom(most_segments=0)).count() == 0
 
 
+@pytest.mark.parametrize("how", [{}, {"most_segments": 0}])
+def test_lm_pairs_seen_once(spark, how):
+    """A pair seen once in training raises a held-out score, in the filter and in the joined path."""
+    held = lambda k: zlib.crc32(str(k).encode()) % 5 == 1
+    trained, (one, two) = [k for k in range(60) if not held(k)], [k for k in range(60) if held(k)][:2]
+    texts = {k: f"common a{k} common words b{k}" for k in trained}
+    texts |= {one: f"common a{trained[0]}", two: f"common b{trained[0]}"}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r.doc_id: r for r in lm.score(docs, cfg=lm.LogBloom(bits=40, **how)).collect()}
+    assert abs(got[one].base_score - got[two].base_score) < 1e-9 and got[one].score > got[two].score + 0.1
+
+
 def test_lines(spark):
     rows = [(k, f"body {k} a\nAll  Rights\nbody {k} b", f"s{k % 8}") for k in range(40)] + [(100 + k, "same text\nof copies", f"s{k}") for k in range(8)] + [(200, None, "s1"), (None, "all rights", "s2"), (201, "", None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")

@@ -3,7 +3,7 @@
 Words and word pairs of the training documents are counted over all of them.
 Counts are quantised on a log scale; an n-gram of level q enters the filter as
 the q items (n-gram, 1) .. (n-gram, q), so a count is read back by probing
-levels until one is missing. Pairs seen once stay out (``min_pair``). The filter
+levels until one is missing. Every pair enters, those seen once too (``min_pair``). The filter
 is split into segments by the n-gram's hash: each is built in one task, they are
 sent to the workers only if all together stay under ``most_broadcast`` bytes,
 and beyond that, or beyond ``most_segments`` segments, exact counts are joined
@@ -51,7 +51,7 @@ class LogBloom:
     base: float = 1.6
     bits: int = 12
     probes: int = 6
-    min_pair: int = 2
+    min_pair: int = 1
     segment_tokens: int = 4_000_000
     most_segments: int = 2048
     most_broadcast: int = 256 << 20
