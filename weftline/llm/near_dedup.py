@@ -6,14 +6,20 @@ independent trees branches the classes by minwise tokens: a node picks one or
 two of the signature's positions (1/similarity on average, from a hash of the
 node), and every class in it moves to the child that its token there names.
 Nodes of at most ``node_limit`` classes are compared exhaustively; larger ones
-branch again. What is still large at the last depth is solved exactly: blocks of
-the node share one leader, and classes that their block doesn't tie to the
-leader are compared with every block.
+branch again.
 
-Candidates of small nodes pass a sketch filter first (a byte of each of 64
-minhashes); then links are confirmed on full sets made from the whole texts. A
-node gives a spanning forest of its links, never all pairs, and components over
-all links are the groups.
+The trees run in two rounds. The first takes the top nodes of two trees, large
+ones in random blocks; its links settle most groups. The second takes all trees
+with the components found: a node whose classes are of one component has nothing
+to add and ends there, and only classes of different components are compared.
+Large nodes of several components that branching no longer takes apart are solved
+exactly: those that share classes are put together, and the classes outside the
+largest component are compared with all others by their sketches, tile by tile.
+
+Comparisons read sketches (a byte of each of 64 minhashes); links are confirmed
+on full sets made from the whole texts, one set a document and round. A node
+gives a spanning forest of its links, never all pairs, and components over all
+links are the groups.
 
 Defined results: null and empty texts, and those without words, have an empty
 set and are linked with nothing; null ids are linked with nothing and kept, with
@@ -28,32 +34,36 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.llm import textkit as tk
 from weftline.llm.components import connected_components
 from weftline.llm.scratch import Scratch
+from weftline.llm.skew import hot_join, hot_size
 
 U64 = np.uint64
 
 
 @dataclass(frozen=True)
 class ChosenPath:
-    """``shingle`` words; similarity in hundredths; trees; signature length; most classes compared exhaustively; rows of a block of what stays large."""
+    """``shingle`` words; similarity in hundredths; trees, and those of the first round; signature length; most classes compared exhaustively; most classes of a random block of a larger node; share of the rows of large nodes that a level may leave for the next to branch on; most ids that a broadcast picks texts by."""
 
     shingle: int = 5
     similarity: int = 80
     trees: int = 12
+    first_trees: int = 2
     signature: int = 64
     node_limit: int = 600
-    block: int = 100
+    block: int = 256
+    shrink: float = 0.9
+    most_broadcast: int = 1_000_000
     sketch_slack: float = 4.2
     seed: int = 1
 
     def depth(self, classes: int) -> int:
         """Levels of branching: more for more classes, as what common shingles put together shrinks by a factor each."""
-        return 1 + int(np.ceil(np.log10(max(classes, 10)) / 2.5))
+        return 4 + int(np.ceil(np.log10(max(classes, 10)) / 2.5))
 
     def least_equal(self) -> int:
         """Equal sketch bytes that a linked pair reaches but for ``sketch_slack`` standard deviations."""
@@ -95,24 +105,24 @@ def _signatures(batch: pa.RecordBatch, name: str, cfg: ChosenPath) -> np.ndarray
     return np.frombuffer(b"".join(column.to_pylist()), U64).reshape(len(column), cfg.signature)
 
 
-def roots(sigs: DataFrame, cfg: ChosenPath) -> DataFrame:
-    """(node, doc_id) of the first level of every tree; trees start at different positions."""
+def roots(sigs: DataFrame, cfg: ChosenPath, trees: range) -> DataFrame:
+    """(node, doc_id, f) of the first level of some trees; trees start at different positions. ``f`` is the component so far."""
 
     def per_batch(batches):
         order = np.argsort([tk.mix_int(cfg.seed, 21, i) for i in range(cfg.signature)])
         picks, n = [], 0
         for tree in range(cfg.trees):
             for _ in range(_picks(tk.mix_int(cfg.seed, 22, tree), cfg)):
-                picks.append((tk.mix_int(cfg.seed, 23, tree), int(order[n % cfg.signature])))
+                if tree in trees:
+                    picks.append((tk.mix_int(cfg.seed, 23, tree), int(order[n % cfg.signature])))
                 n += 1
         for batch in batches:
             sig = _signatures(batch, "sig", cfg)
-            ids = batch.column(0)
             for tree, i in picks:
                 node = tk.mix(sig[:, i] ^ U64(tk.mix_int(tree, i)))
-                yield pa.RecordBatch.from_arrays([pa.array(tk.as_long(node)), ids], ["node", "doc_id"])
+                yield pa.RecordBatch.from_arrays([pa.array(tk.as_long(node)), batch.column(0), batch.column(1)], ["node", "doc_id", "f"])
 
-    return sigs.select("doc_id", "sig").mapInArrow(per_batch, "node long, doc_id long")
+    return sigs.select("doc_id", "f", "sig").mapInArrow(per_batch, "node long, doc_id long, f long")
 
 
 def _picks(h: int, cfg: ChosenPath) -> int:
@@ -120,14 +130,25 @@ def _picks(h: int, cfg: ChosenPath) -> int:
     return 1 + (h % 10_000 < (100 / cfg.similarity - 1) * 10_000)
 
 
+def _gathered(rows: DataFrame, key: str, table: DataFrame) -> DataFrame:
+    """``table`` joined once a document to the list of its ``key``s: a few for each tree."""
+    return rows.groupBy("doc_id").agg(F.collect_list(key).alias("keys")).join(table, "doc_id")
+
+
+def _dealt(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """The flat keys of a batch of ``_gathered`` and the row of each."""
+    keys = batch.column(batch.schema.get_field_index("keys"))
+    return keys.flatten().to_numpy(zero_copy_only=False), np.repeat(np.arange(len(keys)), keys.value_lengths().to_numpy(zero_copy_only=False))
+
+
 def branch(large: DataFrame, sigs: DataFrame, cfg: ChosenPath) -> DataFrame:
-    """(node, doc_id) of the children of large nodes."""
+    """(node, doc_id, f) of the children of large nodes."""
 
     def per_batch(batches):
         for batch in batches:
             sig = _signatures(batch, "sig", cfg)
-            ids = batch.column(1).to_numpy(zero_copy_only=False)
-            nodes, where = np.unique(batch.column(0).to_numpy(zero_copy_only=False), return_inverse=True)
+            key, row = _dealt(batch)
+            nodes, where = np.unique(key, return_inverse=True)
             position = np.full((len(nodes), 2), -1)
             for k, node in enumerate(nodes.tolist()):
                 for j in range(_picks(tk.mix_int(cfg.seed, 24, node), cfg)):
@@ -135,54 +156,81 @@ def branch(large: DataFrame, sigs: DataFrame, cfg: ChosenPath) -> DataFrame:
             for j in range(2):
                 at = position[where, j]
                 on = np.flatnonzero(at >= 0)
-                child = tk.mix(sig[on, at[on]] ^ tk.mix(nodes[where[on]].view(U64) + U64(j + 1)) ^ (at[on].astype(U64) * tk.K1))
-                yield pa.RecordBatch.from_arrays([pa.array(tk.as_long(child)), pa.array(ids[on])], ["node", "doc_id"])
+                child = tk.mix(sig[row[on], at[on]] ^ tk.mix(nodes[where[on]].view(U64) + U64(j + 1)) ^ (at[on].astype(U64) * tk.K1))
+                of = pa.array(row[on])
+                yield pa.RecordBatch.from_arrays([pa.array(tk.as_long(child)), batch.column(0).take(of), batch.column(1).take(of)], ["node", "doc_id", "f"])
+
+    return _gathered(large, "node", sigs).select("doc_id", "f", "sig", "keys").mapInArrow(per_batch, "node long, doc_id long, f long")
+
+
+def in_several(level: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """The rows of nodes that hold more than one component, with the node's number of rows ``n``."""
+    level = scratch.write(name, level)
+    total = level.count()
+    sizes = level.groupBy("node").agg(F.count("*").alias("n"), F.min("f").alias("lo"), F.max("f").alias("hi")).where("lo < hi").select("node", "n")
+    sizes = scratch.write(f"{name}_sizes", sizes)
+    found = scratch.write(f"{name}_several", hot_join(level, sizes, ["node"], total, sizes.where(F.col("n") >= hot_size(total)).select("node")))
+    scratch.drop(name, f"{name}_sizes")
+    return found
 
-    return large.select("node", "doc_id").join(sigs.select("doc_id", "sig"), "doc_id").select("node", "doc_id", "sig").mapInArrow(per_batch, "node long, doc_id long")
+
+def random_blocks(large: DataFrame, cfg: ChosenPath, seed: int) -> DataFrame:
+    """(node, doc_id): rows of large nodes dealt to blocks of about ``block``, each block a node of its own."""
+    spot = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.ceil(F.col("n") / cfg.block).cast("long"))
+    return large.select(F.xxhash64("node", spot, F.lit(seed)).alias("node"), "doc_id")
 
 
 def candidates(small: DataFrame, sigs: DataFrame, cfg: ChosenPath) -> DataFrame:
-    """(cand, doc_id): the classes of each small node that have a partner there by their sketches; equal lists once."""
+    """(cand, doc_id): the classes of each small node that by their sketches have a partner of another component there; equal lists once."""
     need = cfg.least_equal()
 
     def sketch(batches):
         for batch in batches:
             sig = _signatures(batch, "sig", cfg)
+            key, row = _dealt(batch)
             bytes_ = ((sig * tk.K1) >> U64(56)).astype(np.uint8)
-            flat = pa.Array.from_buffers(pa.binary(cfg.signature), len(sig), [None, pa.py_buffer(np.ascontiguousarray(bytes_))])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), flat.cast(pa.binary())], ["node", "doc_id", "sketch"])
+            for part in range(0, len(key), 1 << 14):
+                of = row[part : part + (1 << 14)]
+                flat = pa.Array.from_buffers(pa.binary(cfg.signature), len(of), [None, pa.py_buffer(np.ascontiguousarray(bytes_[of]))])
+                yield pa.RecordBatch.from_arrays([pa.array(key[part : part + (1 << 14)]), batch.column(0).take(pa.array(of)), batch.column(1).take(pa.array(of)), flat.cast(pa.binary())], ["node", "doc_id", "f", "sketch"])
 
     def compare(batches):
         for table in tk.whole_groups(batches, "node"):
             table = table.combine_chunks()
-            node = table.column("node").to_numpy()
-            ids = table.column("doc_id").to_numpy()
+            node, ids, f = (table.column(c).to_numpy() for c in ("node", "doc_id", "f"))
             sk = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(len(ids), cfg.signature)
             hit = np.zeros(len(ids), bool)
             for gap in range(1, len(ids)):
                 left = np.flatnonzero(node[gap:] == node[:-gap])
                 if not len(left):
                     break
+                left = left[f[left] != f[left + gap]]
                 for part in range(0, len(left), 1 << 16):
                     one = left[part : part + (1 << 16)]
                     close = one[(sk[one] == sk[one + gap]).sum(1) >= need]
                     hit[close] = hit[close + gap] = True
-            node, ids = node[hit], ids[hit]
-            if not len(ids):
-                continue
-            order = np.lexsort((ids, node))
-            node, ids = node[order], ids[order]
-            heads = np.flatnonzero(np.concatenate([[True], node[1:] != node[:-1]]))
-            mark = tk.mix(tk.mix(ids.view(U64) + tk.K2))
-            cand = tk.mix(np.add.reduceat(mark, heads) + np.diff(np.append(heads, len(ids))).astype(U64))
-            lists = pa.ListArray.from_arrays(pa.array(np.append(heads, len(ids)).astype(np.int32)), pa.array(ids))
-            yield pa.RecordBatch.from_arrays([pa.array(tk.as_long(cand)), lists], ["cand", "ids"])
-
-    sketched = small.select("node", "doc_id").join(sigs.select("doc_id", "sig"), "doc_id").select("node", "doc_id", "sig").mapInArrow(sketch, "node long, doc_id long, sketch binary")
+            found = _lists(node[hit], ids[hit])
+            if found is not None:
+                yield found
+
+    sketched = _gathered(small, "node", sigs).select("doc_id", "f", "sig", "keys").mapInArrow(sketch, "node long, doc_id long, f long, sketch binary")
     lists = sketched.repartition("node").sortWithinPartitions("node").mapInArrow(compare, "cand long, ids array<long>")
     return lists.dropDuplicates(["cand"]).select("cand", F.explode("ids").alias("doc_id"))
 
 
+def _lists(node: np.ndarray, ids: np.ndarray) -> pa.RecordBatch | None:
+    """(cand, ids): the ids of each node, under a hash of the list."""
+    if not len(ids):
+        return None
+    order = np.lexsort((ids, node))
+    node, ids = node[order], ids[order]
+    heads = np.flatnonzero(np.concatenate([[True], node[1:] != node[:-1]]))
+    mark = tk.mix(tk.mix(ids.view(U64) + tk.K2))
+    cand = tk.mix(np.add.reduceat(mark, heads) + np.diff(np.append(heads, len(ids))).astype(U64))
+    lists = pa.ListArray.from_arrays(pa.array(np.append(heads, len(ids)).astype(np.int32)), pa.array(ids))
+    return pa.RecordBatch.from_arrays([pa.array(tk.as_long(cand)), lists], ["cand", "ids"])
+
+
 def _links_of(ids: list[int], sets: list[np.ndarray], similarity: int) -> list[tuple[int, int]]:
     """(index, index of its component's smallest id) within one node, by breadth-first search over exact similarities."""
     n = len(sets)
@@ -220,117 +268,170 @@ def _links_of(ids: list[int], sets: list[np.ndarray], similarity: int) -> list[t
 
 
 def confirm(members: DataFrame, docs: DataFrame, cfg: ChosenPath) -> DataFrame:
-    """Exact links. ``members``: cand, doc_id and, for a block of a large node, node and leader. Gives a, b; b null marks a class that its block doesn't tie to the leader."""
+    """(a, b): a spanning forest of the exact links within each ``cand`` of ``members`` (cand, doc_id)."""
+
+    def sets_of(batches):
+        for batch in batches:
+            key, row = _dealt(batch)
+            ids = batch.column(0).to_pylist()
+            first = np.searchsorted(row, np.arange(batch.num_rows + 1))
+            for lo, hi, data, at in tk.chunks(tk.text_column(batch.column(1))):
+                values, at = tk.distinct(*tk.runs(tk.Words(data, at, tk.SPACED), cfg.shingle))
+                out, size = [], 0
+                for k in range(first[lo], first[hi]):
+                    one = values[at[row[k] - lo] : at[row[k] - lo + 1]].tobytes()
+                    out.append((key[k], ids[row[k]], one))
+                    size += len(one)
+                    if size > tk.CHUNK_BYTES or k + 1 == first[hi]:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.binary()), strict=True)], ["cand", "doc_id", "values"])
+                        out, size = [], 0
 
     def exact(batches):
         for table in tk.whole_groups(batches, "cand"):
-            table = table.combine_chunks()
             cand = table.column("cand").to_numpy()
-            ids, node, leader = (table.column(c).to_pylist() for c in ("doc_id", "node", "leader"))
-            sets: list[np.ndarray] = []
-            texts = tk.text_column(table.column("text"))
-            for _, _, data, at in tk.chunks(texts):
-                values, at = tk.distinct(*tk.runs(tk.Words(data, at, tk.SPACED), cfg.shingle))
-                sets += [values[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
+            ids = table.column("doc_id").to_pylist()
+            sets = [np.frombuffer(x, U64) for x in table.column("values").to_pylist()]
             heads = np.flatnonzero(np.concatenate([[True], cand[1:] != cand[:-1]])).tolist()
             out = []
             for a, b in zip(heads, [*heads[1:], len(ids)], strict=True):
-                found = _links_of(ids[a:b], sets[a:b], cfg.similarity)
-                out += [(node[a], ids[a + x], ids[a + y]) for x, y in found if ids[a + x] != ids[a + y]]
-                if leader[a] is not None:
-                    tied = {y for x, y in found if ids[a + x] == leader[a]}
-                    out += [(node[a], ids[a + x], None) for x, y in found if y not in tied]
+                out += [(ids[a + x], ids[a + y]) for x, y in _links_of(ids[a:b], sets[a:b], cfg.similarity) if ids[a + x] != ids[a + y]]
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["node", "a", "b"])
-
-    rows = members.join(docs, "doc_id").select("cand", "doc_id", "node", "leader", "text")
-    return rows.repartition("cand").sortWithinPartitions("cand").mapInArrow(exact, "node long, a long, b long")
-
-
-def _blocks(large: DataFrame, cfg: ChosenPath) -> DataFrame:
-    """node, doc_id, n, leader -> the same with a block; the leader in every block."""
-    blocks = F.greatest(F.lit(1), F.ceil(F.col("n") / cfg.block)).cast("long")
-    own = large.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("doc_id", "node"), F.col("blocks")))
-    extra = large.where("doc_id = leader").withColumn("blocks", blocks).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    return own.where("doc_id != leader").unionByName(extra)
-
-
-def _loose(first: DataFrame, blocks: DataFrame, docs: DataFrame, scratch: Scratch, cfg: ChosenPath) -> list[DataFrame]:
-    """Exact links of the classes that their block doesn't tie to the leader of a large node."""
-    links: list[DataFrame] = []
-    loose = first.where("b is null").select("node", F.col("a").alias("doc_id"))
-    if loose.limit(1).count():
-        # every loose class is a query against every block of its node, in chunks
-        count = loose.groupBy("node").agg(F.count("*").alias("r"))
-        chunk = F.ceil(F.col("r") / cfg.block).cast("long")
-        sized = count.withColumn("chunks", chunk).select("node", "chunks")
-        width = blocks.select("node", "blocks").distinct()
-        asked = loose.join(sized, "node").withColumn("chunk", F.pmod(F.xxhash64("doc_id", F.lit(7)), F.col("chunks"))).join(width, "node")
-        queries = asked.select("node", "doc_id", "chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"))
-        rows = blocks.join(sized, "node").select("node", "doc_id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("chunk"), "block")
-        pairs = queries.unionByName(rows).distinct().select(F.xxhash64("node", "chunk", "block", F.lit(3)).alias("cand"), "doc_id", "node", F.lit(None).cast("long").alias("leader"))
-        links.append(scratch.write("loose", confirm(pairs, docs, cfg)).where("b is not null").select("a", "b"))
-    return links
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["a", "b"])
+
+    wanted = members.select("doc_id").distinct()
+    if wanted.count() <= cfg.most_broadcast:
+        docs = docs.join(F.broadcast(wanted), "doc_id", "left_semi")
+    sets = _gathered(members, "cand", docs).select("doc_id", "text", "keys").mapInArrow(sets_of, "cand long, doc_id long, values binary")
+    return sets.repartition("cand").sortWithinPartitions("cand").mapInArrow(exact, "a long, b long").distinct()
+
+
+def tiles(left: DataFrame, sigs: DataFrame, scratch: Scratch, cfg: ChosenPath) -> DataFrame:
+    """(node, doc_id): what no branching takes apart, as tiles of at most twice ``node_limit`` classes.
+
+    Nodes of several trees that share classes are put together and solved once. In each such group the classes outside its largest
+    component meet all of the group: a class is repeated once for each ``node_limit`` classes of the other side.
+    """
+    stars = left.join(left.groupBy("node").agg(F.min("doc_id").alias("a")), "node").select("a", F.col("doc_id").alias("b"))
+    group = connected_components(stars, scratch, "tiled").select(F.col("id").alias("doc_id"), F.col("component").alias("group"))
+    rows = scratch.write("left", group.join(sigs.select("doc_id", "f"), "doc_id").distinct())
+    parts = rows.groupBy("group", "f").agg(F.count("*").alias("c"))
+    main = parts.groupBy("group").agg(F.sum("c").alias("n"), F.max(F.struct("c", "f")).alias("m")).select("group", "n", F.col("m.f").alias("main"), (F.col("n") - F.col("m.c")).alias("r")).where("r > 0")
+    sized = hot_join(rows, main, ["group"], rows.count())
+    count = lambda c: F.ceil(F.col(c) / cfg.node_limit).cast("long")
+    spot = lambda seed, c: F.pmod(F.xxhash64("doc_id", F.lit(seed)), count(c))
+    upto = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), count(c) - 1))
+    loose = sized.where("f != main").select("group", "doc_id", spot(31, "r").alias("i"), upto("n").alias("j"))
+    every = sized.select("group", "doc_id", upto("r").alias("i"), spot(32, "n").alias("j"))
+    made = scratch.write("tiles", loose.unionByName(every).distinct().select(F.xxhash64("group", "i", "j", F.lit(33)).alias("node"), "doc_id"))
+    scratch.drop("left")
+    return made
+
+
+class _Groups:
+    """Classes, their components so far, and the rounds that find links between them."""
+
+    def __init__(self, sigs: DataFrame, texts: DataFrame, scratch: Scratch, cfg: ChosenPath):
+        self.sigs, self.texts, self.scratch, self.cfg = sigs, texts, scratch, cfg
+        self.links: list[DataFrame] = []
+        self.rounds = 0
+
+    def link(self, members: DataFrame) -> DataFrame | None:
+        """Links confirmed among ``members``, kept; (id, component) by all links so far, or None without new ones."""
+        n, self.rounds = self.rounds, self.rounds + 1
+        members = self.scratch.write(f"members{n}", members)
+        made = self.scratch.write(f"links{n}", confirm(members, self.texts, self.cfg))
+        self.scratch.drop(f"members{n}")
+        if not made.limit(1).count():
+            return None
+        self.links.append(made)
+        every = self.links[0]
+        for more in self.links[1:]:
+            every = every.unionByName(more)
+        return connected_components(every, self.scratch, f"round{n}")
+
+    def relabel(self, found: DataFrame | None) -> None:
+        if found is None:
+            return
+        n = self.rounds
+        joined = self.sigs.drop("f").join(found.select(F.col("id").alias("doc_id"), F.col("component").alias("f")), "doc_id", "left")
+        self.sigs = self.scratch.write(f"signatures{n}", joined.select("doc_id", F.coalesce("f", "doc_id").alias("f"), "sig"))
+
+
+def _settled(sigs: DataFrame, texts: DataFrame, scratch: Scratch, cfg: ChosenPath) -> DataFrame | None:
+    """(id, component) of all classes that are linked, or None where none are. ``sigs``: doc_id, f, sig."""
+    groups = _Groups(sigs, texts, scratch, cfg)
+    limit = cfg.node_limit
+    top = in_several(roots(groups.sigs, cfg, range(cfg.first_trees)), scratch, "first")
+    small, large = top.where(F.col("n") <= limit), top.where(F.col("n") > limit)
+    blocks = random_blocks(large, cfg, 41).unionByName(random_blocks(large, cfg, 42))
+    found = groups.link(candidates(small.select("node", "doc_id").unionByName(blocks), groups.sigs, cfg))
+    groups.relabel(found)
+
+    rest = roots(groups.sigs, cfg, range(cfg.first_trees, cfg.trees))
+    if large.limit(1).count():
+        rest = rest.unionByName(branch(large.select("node", "doc_id"), groups.sigs, cfg))
+    level, smalls, left, before = in_several(rest, scratch, "level0"), [], None, None
+    depths = cfg.depth(sigs.count())
+    for depth in range(depths):
+        smalls.append(level.where(F.col("n") <= limit).select("node", "doc_id"))
+        large = level.where(F.col("n") > limit).select("node", "doc_id")
+        rows = large.count()
+        if not rows:
+            break
+        if depth + 1 == depths or before and rows > cfg.shrink * before:
+            left = large
+            break
+        level, before = in_several(branch(large, groups.sigs, cfg), scratch, f"level{depth + 1}"), rows
+    small = smalls[0]
+    for more in smalls[1:]:
+        small = small.unionByName(more)
+    more = groups.link(candidates(small, groups.sigs, cfg))
+    groups.relabel(more)
+    found = more if more is not None else found
+    if left is not None:
+        more = groups.link(candidates(tiles(left, groups.sigs, scratch, cfg), groups.sigs, cfg))
+        found = more if more is not None else found
+    scratch.drop("first_several", "tiles", *[f"level{d}_several" for d in range(depths)], *[f"signatures{n}" for n in range(groups.rounds + 1)])
+    return found
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", cfg: ChosenPath = ChosenPath()) -> DataFrame:
-    """One row per row of ``docs``: doc_id, n_shingles, class_id (smallest id with the same set), component_id, kept (doc_id = component_id)."""
+    """One row per row of ``docs``: doc_id, n_shingles, component_id, kept (doc_id = component_id), class_id (smallest id with the same set)."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "near")
     made = scratch.write("features", features(docs, id_col, text_col, cfg))
     in_play = made.where("n_shingles > 0 and doc_id is not null")
-    classes = in_play.groupBy("d1", "d2").agg(F.min("doc_id").alias("class_id"), F.first("sig").alias("sig"))
+    classes = in_play.groupBy("d1", "d2").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("n"), F.first("sig").alias("sig"))
     classes = scratch.write("classes", classes)
-    sigs = classes.groupBy(F.col("class_id").alias("doc_id")).agg(F.first("sig").alias("sig"), F.count("*").alias("texts"))
-    sigs = scratch.write("signatures", sigs.select("doc_id", "sig"))
+    sigs = classes.select(F.col("class_id").alias("doc_id"), F.col("class_id").alias("f"), "sig")
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-
-    smalls: list[DataFrame] = []
-    level = roots(sigs, cfg)
-    large = None
-    depths = cfg.depth(sigs.count())
-    for depth in range(depths):
-        sizes = level.groupBy("node").agg(F.count("*").alias("n"), F.min("doc_id").alias("leader")).where("n > 1")
-        nodes = scratch.write(f"level{depth}", level.join(sizes, "node"))
-        smalls.append(nodes.where(F.col("n") <= cfg.node_limit).select("node", "doc_id"))
-        large = nodes.where(F.col("n") > cfg.node_limit)
-        if not large.limit(1).count():
-            large = None
-            break
-        if depth + 1 < depths:
-            level = branch(large, sigs, cfg)
-    small = smalls[0]
-    for more in smalls[1:]:
-        small = small.unionByName(more)
+    found = _settled(sigs, texts, scratch, cfg)
+
+    labels = classes.select("d1", "d2", "class_id", "n")
+    if found is not None:
+        labels = labels.join(found.select(F.col("id").alias("class_id"), F.col("component").alias("component_id")), "class_id", "left").withColumn("component_id", F.coalesce("component_id", "class_id"))
+    else:
+        labels = labels.withColumn("component_id", F.col("class_id"))
+    labels = scratch.write("labels", labels)
+    slim = made.select("doc_id", "n_shingles", "d1", "d2")
+    total = made.count()
+    told = hot_join(slim.where("n_shingles > 0"), labels, ["d1", "d2"], total, labels.where(F.col("n") >= hot_size(total)).select("d1", "d2"), how="left")
     none = F.lit(None).cast("long")
-    members = candidates(small, sigs, cfg).select("cand", "doc_id", none.alias("node"), none.alias("leader"))
-    if large is not None:
-        blocks = scratch.write("blocks", _blocks(large.select("node", "doc_id", "n", "leader"), cfg))
-        members = members.unionByName(blocks.select(F.xxhash64("node", "block").alias("cand"), "doc_id", "node", "leader"))
-    members = scratch.write("members", members)
-    # the texts of those to be compared leave the table once
-    texts = scratch.write("texts", texts.join(members.select("doc_id").distinct(), "doc_id", "left_semi"))
-    first = scratch.write("confirmed", confirm(members, texts, cfg))
-    links = [first.where("b is not null").select("a", "b")]
-    if large is not None:
-        links += _loose(first, blocks, texts, scratch, cfg)
-    every = links[0]
-    for more in links[1:]:
-        every = every.unionByName(more)
-    every = scratch.write("links", every.distinct())
-    scratch.drop("signatures", "texts", "members", *[f"level{d}" for d in range(depths)])
-    found = connected_components(every, scratch)
-    joined = made.select("doc_id", "n_shingles", "d1", "d2").join(classes.select("d1", "d2", "class_id"), ["d1", "d2"], "left")
-    joined = joined.join(found.withColumnRenamed("id", "class_id"), "class_id", "left")
-    alone = F.coalesce(F.col("component"), F.when(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0), F.col("class_id")), F.col("doc_id"))
-    component = F.when(F.col("doc_id").isNull(), F.lit(None).cast("long")).otherwise(alone)
-    return joined.select("doc_id", "n_shingles", "class_id", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    bare = slim.where("n_shingles = 0").select("*", none.alias("class_id"), none.alias("n"), F.col("doc_id").alias("component_id"))
+    joined = told.unionByName(bare)
+    component = F.when(F.col("doc_id").isNotNull(), F.col("component_id"))
+    return joined.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"), "class_id")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", cfg: ChosenPath = ChosenPath()) -> DataFrame:
-    """The rows of ``docs`` whose document is its group's smallest id, each id once where ids repeat."""
+    """The rows of ``docs`` whose document is its group's smallest id; where an id repeats, the row of its smallest text, once. Null ids stay."""
     found = near_duplicates(docs, id_col, text_col, cfg)
-    gone = found.where("not kept").select(F.col("doc_id").alias(id_col)).distinct()
-    kept = docs.join(gone, id_col, "left_anti")
-    repeated = found.where("kept and doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count()
-    return kept.where(F.col(id_col).isNotNull()).dropDuplicates([id_col]).unionByName(kept.where(F.col(id_col).isNull())) if repeated else kept
+    ids = found.where("doc_id is not null").groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count("*").alias("rows"))
+    gone = ids.where("not kept").select(F.col("doc_id").alias(id_col))
+    kept = docs.join(gone, id_col, "left_anti").select(*docs.columns)
+    again = ids.where("kept and rows > 1").select(F.col("doc_id").alias(id_col))
+    if not again.limit(1).count():
+        return kept
+    rank = tk.unused(docs, "rank")
+    several = kept.join(again, id_col, "left_semi").withColumn(rank, F.row_number().over(Window.partitionBy(id_col).orderBy(F.col(text_col).asc_nulls_last())))
+    return kept.join(again, id_col, "left_anti").select(*docs.columns).unionByName(several.where(F.col(rank) == 1).select(*docs.columns))

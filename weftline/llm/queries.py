@@ -83,7 +83,7 @@ l as (select a, b from c join s p on p.doc_id = a join s q on q.doc_id = b where
 e as (select a, b from l union all select b, a from l),
 r(d, m) as (select doc_id, doc_id from s union select e.b, r.m from r join e on e.a = r.d where r.m < e.b),
 k as (select sh, min(doc_id) class_id from s where len(sh) > 0 group by 1)
-select s.doc_id, len(s.sh)::bigint n_shingles, any_value(class_id) class_id, min(m) component_id, s.doc_id = min(m) kept
+select s.doc_id, len(s.sh)::bigint n_shingles, min(m) component_id, s.doc_id = min(m) kept, any_value(class_id) class_id
 from s join r on d = s.doc_id left join k on k.sh = s.sh group by s.doc_id, s.sh"""
 
 _OP6 = f"""

@@ -1,11 +1,14 @@
 """Tables that cut lineage, written to the folder that the cluster shares.
 
 The folder is ``spark.checkpoint.dir`` of the session. Only where that is unset
-(tests, a laptop) does a temporary folder of this process stand in for it.
+and the master is local (tests, a laptop) does a temporary folder of this process
+stand in for it; elsewhere its absence is an error. What an operator does not drop
+itself, as its result still reads it, goes when the session's JVM ends.
 """
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -18,6 +21,8 @@ def shared_dir(spark: SparkSession) -> str:
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
     if not _LOCAL:
         _LOCAL.append("file://" + tempfile.mkdtemp(prefix="weftline-"))
     return _LOCAL[0]
@@ -29,6 +34,13 @@ class Scratch:
     def __init__(self, spark: SparkSession, what: str):
         self.spark = spark
         self.root = f"{shared_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
+        path, files = self._files(self.root)
+        files.mkdirs(path)
+        files.deleteOnExit(path)
+
+    def _files(self, at: str):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(at)
+        return path, path.getFileSystem(self.spark._jsc.hadoopConfiguration())
 
     def write(self, name: str, frame: DataFrame) -> DataFrame:
         path = f"{self.root}/{name}"
@@ -36,7 +48,6 @@ class Scratch:
         return self.spark.read.schema(frame.schema).parquet(path)
 
     def drop(self, *names: str) -> None:
-        jvm = self.spark._jvm
         for name in names:
-            path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
-            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+            path, files = self._files(f"{self.root}/{name}")
+            files.delete(path, True)
