@@ -14,6 +14,7 @@ both kinds every score is the share of label 1, or 0.5 without any label.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -22,7 +23,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.llm import textkit as tk
-from weftline.llm.scratch import Scratch
 
 U64 = np.uint64
 
@@ -212,40 +212,47 @@ def held_out(id_col: str, fold: int = 0, folds: int = 5):
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % folds == fold, F.lit(False))
 
 
-def learn(found: DataFrame, labels: DataFrame, fold: int = 0, folds: int = 5, cfg: Boosting = Boosting()) -> Trees:
-    """Trees from the statistics ``found`` of labelled documents outside the held-out fold."""
+def learn(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, fold: int = 0, folds: int = 5, cfg: Boosting = Boosting()) -> Trees:
+    """Trees from labelled documents outside the held-out fold, at most ``sample_rows`` of them, by a hash of the id; statistics are taken of these alone."""
     marked = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("y")).where("y in (0, 1) and doc_id is not null").where(~held_out("doc_id", fold, folds))
-    one = marked.groupBy("doc_id").agg(F.max("y").alias("y"))
-    rows = found.join(one, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "f").limit(cfg.sample_rows).select("f", "y").toArrow()
+    here = docs.select(F.col(id_col).cast("long").alias("doc_id"))
+    order = (F.xxhash64("doc_id"), F.col("doc_id"))
+    one = marked.groupBy("doc_id").agg(F.max("y").alias("y")).join(here, "doc_id", "left_semi").orderBy(*order).limit(cfg.sample_rows)
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(one), "doc_id")
+    found = features(texts, "doc_id", "text").join(F.broadcast(one), "doc_id")
+    rows = found.orderBy(*order, "f").limit(cfg.sample_rows).select("f", "y").toArrow()
     x = np.array(rows.column("f").combine_chunks().flatten()).reshape(len(rows), len(NAMES)) if len(rows) else np.zeros((0, len(NAMES)), np.float32)
     return fit(x, rows.column("y").to_numpy().astype(float) if len(rows) else np.zeros(0), cfg)
 
 
+def _chunks(column) -> Iterator[tuple[int, int, np.ndarray]]:
+    """(first row, end row, statistics) over chunks of a batch's texts."""
+    for lo, hi, data, at in tk.chunks(tk.text_column(column)):
+        yield lo, hi, statistics(data, at)
+
+
 def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", cut: float = 0.3, cfg: Boosting = Boosting()) -> DataFrame:
-    """doc_id, held_out, score and predicted (1 if score >= ``cut``), one row per row of ``docs``."""
-    spark = docs.sparkSession
-    found = Scratch(spark, "quality").write("statistics", features(docs, id_col, text_col))
-    shared = spark.sparkContext.broadcast(learn(found, labels, cfg=cfg))
+    """doc_id, held_out, score and predicted (1 if score >= ``cut``), one row per row of ``docs``, in one pass over the texts."""
+    shared = docs.sparkSession.sparkContext.broadcast(learn(docs, labels, id_col, text_col, cfg=cfg))
 
     def per_batch(batches):
         for batch in batches:
-            x = batch.column(1).flatten().to_numpy().reshape(batch.num_rows, len(NAMES))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(shared.value.score(x))], ["doc_id", "score"])
+            for lo, hi, x in _chunks(batch.column(1)):
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(shared.value.score(x))], ["doc_id", "score"])
 
-    scored = found.mapInArrow(per_batch, "doc_id long, score double")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    scored = rows.mapInArrow(per_batch, "doc_id long, score double")
     return scored.select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= cut).cast("int").alias("predicted"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", cut: float = 0.3, cfg: Boosting = Boosting()) -> DataFrame:
     """The rows of ``docs`` that score ``cut`` or more; no row is moved."""
-    spark = docs.sparkSession
-    found = Scratch(spark, "quality").write("statistics", features(docs, id_col, text_col))
-    shared = spark.sparkContext.broadcast(learn(found, labels, cfg=cfg))
+    shared = docs.sparkSession.sparkContext.broadcast(learn(docs, labels, id_col, text_col, cfg=cfg))
     place = docs.columns.index(text_col)
 
     def per_batch(batches):
         for batch in batches:
-            for lo, hi, data, at in tk.chunks(tk.text_column(batch.column(place))):
-                yield batch.slice(lo, hi - lo).filter(pa.array(shared.value.score(statistics(data, at)) >= cut))
+            for lo, hi, x in _chunks(batch.column(place)):
+                yield batch.slice(lo, hi - lo).filter(pa.array(shared.value.score(x) >= cut))
 
     return docs.mapInArrow(per_batch, docs.schema)
