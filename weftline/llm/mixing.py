@@ -18,8 +18,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from weftline.llm.scratch import Scratch
 from weftline.llm.textkit import unused, without
 
+#: Most sources whose targets are broadcast; beyond that, rows meet them by shuffle.
+MOST_BROADCAST = 200_000
 WORD = "[^\\x20\\x09-\\x0D]+"
 
 
@@ -58,11 +61,14 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     own = unused(docs, "source")
     key = F.coalesce(F.col(id_col).cast("string"), F.lit("null"))
     sized = docs.select(F.col(source_col).alias("source"), words_in(F.col(text_col)).alias("size"))
-    plan = targets(sized, weights, share, most).select(F.col("source").alias(own), F.col("source_size").alias("mix_source_size"), F.col("target").alias("mix_target"))
+    plan = Scratch(docs.sparkSession, "mix").write("targets", targets(sized, weights, share, most))
+    plan = plan.select(F.col("source").alias(own), F.col("source_size").alias("mix_source_size"), F.col("target").alias("mix_target"))
+    if plan.count() <= MOST_BROADCAST:
+        plan = F.broadcast(plan)
     rate = F.when(F.col("mix_source_size") > 0, F.col("mix_target") / F.col("mix_source_size")).otherwise(F.lit(0.0))
     whole = F.floor(rate)
     copies = (whole + (uniform(F.concat(F.lit(seed + ":"), key)) < rate - whole).cast("long")).cast("long")
-    # sized before the join, so that a caller that needs no texts moves none
+    # sources are few: no text moves; sized before the join, so that beyond the bound a caller that needs no texts moves none
     joined = docs.withColumn("mix_size", words_in(F.col(text_col))).join(plan, F.col(source_col).eqNullSafe(F.col(own)), "left")
     return joined.withColumn("mix_copies", copies).drop(own)
 
