@@ -8,7 +8,7 @@ those are compared word by word (64-bit word hashes). All documents of a batch
 advance at once, so the inner loop is vectorised.
 
 The windows are broadcast while they take at most ``most_broadcast`` bytes;
-beyond that, windows are joined to document positions by their hash.
+beyond that, windows are joined to document positions by their words' hashes.
 
 Defined results: null and empty texts have no words and are not contaminated;
 an item without words has no window; repeated items count once by item_id;
@@ -28,6 +28,8 @@ from pyspark.sql import functions as F
 from weftline.llm import textkit as tk
 
 U64 = np.uint64
+#: Most bytes of windows and item ids that are sent to the workers. The tables made of them hold as much again, and a thirteenth for the buckets.
+MOST_BROADCAST = 64 << 20
 
 
 class WuManber:
@@ -39,9 +41,10 @@ class WuManber:
         self.block = min(2, self.length)
         bits = max(10, int(windows.size * 4).bit_length())
         self.mask = U64((1 << bits) - 1)
-        self.shift = np.full(1 << bits, self.length - self.block + 1, np.int64)
+        # a byte a slot, at most 8 slots a word: the table is no larger than the windows; a shift cut at 255 is a safe one
+        self.shift = np.full(1 << bits, min(self.length - self.block + 1, 255), np.uint8)
         for end in range(self.block - 1, self.length):
-            np.minimum.at(self.shift, self._slot(windows, end), self.length - 1 - end)
+            np.minimum.at(self.shift, self._slot(windows, end), np.uint8(min(self.length - 1 - end, 255)))
         last = self._hash(windows, self.length - 1)
         self.order = np.argsort(last, kind="stable")
         self.suffix = last[self.order]
@@ -87,7 +90,7 @@ class WuManber:
                     same[on] = words[where[on] - self.length + 1 + j] == self.windows[window[on], j]
                 found_at.append(where[same] - self.length + 1)
                 found.append(window[same])
-            pos = pos + np.maximum(step, 1)
+            pos = pos + np.maximum(step, 1).astype(np.int64)
             live = pos < stop
             pos, stop = pos[live], stop[live]
         if not found:
@@ -132,36 +135,44 @@ def _report(ids: pa.Array, counts: np.ndarray, hits: np.ndarray, items: list[lis
     return pa.RecordBatch.from_arrays([ids, pa.array(counts), pa.array(hits), pa.array(items, pa.list_(pa.string()))], ["doc_id", "n_words", "n_hit", "items"])
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = 13, most_broadcast: int = 128 << 20) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = 13, most_broadcast: int = MOST_BROADCAST) -> DataFrame:
     """doc_id, n_words, n_hit, items (sorted item ids as strings), one row per row of ``docs``."""
-    spark = docs.sparkSession
-    windows = item_windows(benchmark, item_col, item_text, window)
-    size = windows.agg(F.sum(F.length("words") + F.length("item_id"))).first()[0] or 0
+    windows, machines = _sent(docs, benchmark, item_col, item_text, window, most_broadcast)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    schema = "doc_id long, n_words long, n_hit long, items array<string>"
-    if size > most_broadcast:
+    if machines is None:
         return _joined(rows, windows, window)
-    shared = spark.sparkContext.broadcast(_machines(windows.collect()))
 
     def per_batch(batches):
-        machines = shared.value
         for batch in batches:
-            ids = batch.column(0)
-            for lo, hi, data, at in tk.chunks(tk.text_column(batch.column(1))):
-                words = tk.Words(data, at, tk.ALNUM)
-                edge = np.zeros(len(words.hashes) + 1, np.int64)
-                items: list[list[str]] = [[] for _ in range(hi - lo)]
-                for machine in machines:
-                    begin, which = machine.search(words.hashes, words.at)
-                    np.add.at(edge, begin, 1)
-                    np.add.at(edge, begin + machine.length, -1)
-                    row = np.searchsorted(words.at, begin, side="right") - 1
-                    for r, w in np.unique(np.stack([row, which], 1), axis=0).tolist():
-                        items[r].extend(machine.items[w])
-                hit = np.concatenate([[0], np.cumsum(np.cumsum(edge[:-1]) > 0)])
-                yield _report(ids.slice(lo, hi - lo), words.counts, np.diff(hit[words.at]), [sorted(set(x)) for x in items])
+            for lo, hi, counts, hits, items in _searched(batch.column(1), machines.value):
+                yield _report(batch.column(0).slice(lo, hi - lo), counts, hits, [sorted(set(x)) for x in items])
 
-    return rows.mapInArrow(per_batch, schema)
+    return rows.mapInArrow(per_batch, "doc_id long, n_words long, n_hit long, items array<string>")
+
+
+def _sent(docs: DataFrame, benchmark: DataFrame, item_col: str, item_text: str, window: int, most: int):
+    """The benchmark's windows, and the broadcast search machines where these take at most ``most`` bytes."""
+    spark = docs.sparkSession
+    windows = item_windows(benchmark, item_col, item_text, window)
+    size = windows.agg(F.sum(F.length("words") + F.length("item_id"))).first()[0] or 0
+    return windows, spark.sparkContext.broadcast(_machines(windows.collect())) if size <= most else None
+
+
+def _searched(column, machines: list[WuManber]) -> Iterator[tuple]:
+    """(first row, end row, words, hit words, items) over chunks of a batch's texts."""
+    for lo, hi, data, at in tk.chunks(tk.text_column(column)):
+        words = tk.Words(data, at, tk.ALNUM)
+        edge = np.zeros(len(words.hashes) + 1, np.int64)
+        items: list[list[str]] = [[] for _ in range(hi - lo)]
+        for machine in machines:
+            begin, which = machine.search(words.hashes, words.at)
+            np.add.at(edge, begin, 1)
+            np.add.at(edge, begin + machine.length, -1)
+            row = np.searchsorted(words.at, begin, side="right") - 1
+            for r, w in np.unique(np.stack([row, which], 1), axis=0).tolist():
+                items[r].extend(machine.items[w])
+        hit = np.concatenate([[0], np.cumsum(np.cumsum(edge[:-1]) > 0)])
+        yield lo, hi, words.counts, np.diff(hit[words.at]), items
 
 
 def _joined(rows: DataFrame, windows: DataFrame, window: int) -> DataFrame:
@@ -214,10 +225,23 @@ def with_verdict(found: DataFrame) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(joined, 256).alias("items_sha256"), ((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"))
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose document isn't contaminated; rows with a null id stay."""
-    gone = with_verdict(contamination(docs, benchmark, id_col, text_col)).where("contaminated").select(F.col("doc_id").alias(id_col)).where(F.col(id_col).isNotNull()).distinct()
-    return docs.join(gone, id_col, "left_anti")
+def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 13, most_broadcast: int = MOST_BROADCAST) -> DataFrame:
+    """The rows of ``docs`` whose text isn't contaminated, found in one pass that moves none; rows with a null id stay."""
+    _, machines = _sent(docs, benchmark, "item_id", "text", window, most_broadcast)
+    if machines is None:
+        found = contamination(docs, benchmark, id_col, text_col, window=window, most_broadcast=most_broadcast)
+        gone = with_verdict(found).where("contaminated").select(F.col("doc_id").alias(id_col)).where(F.col(id_col).isNotNull()).distinct()
+        return docs.join(gone, id_col, "left_anti").select(*docs.columns)
+    text, key = docs.columns.index(text_col), docs.columns.index(id_col)
+
+    def per_batch(batches):
+        for batch in batches:
+            for lo, hi, counts, hits, _ in _searched(batch.column(text), machines.value):
+                part = batch.slice(lo, hi - lo)
+                dirty = (hits > 0) & (20 * hits >= counts) & part.column(key).is_valid().to_numpy(zero_copy_only=False)
+                yield part.filter(pa.array(~dirty))
+
+    return docs.mapInArrow(per_batch, docs.schema)
 
 
 def digest(items: list[str]) -> str:
