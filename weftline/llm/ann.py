@@ -29,7 +29,7 @@ from weftline.llm.scratch import Scratch
 
 @dataclass(frozen=True)
 class Graph:
-    """Out-degree, beam of building and of queries, relaxation, rows of a shard and of a block of queries."""
+    """Out-degree, beam of building and of queries, relaxation, rows of a shard and of a block of queries, blocks that one task searches in a shard."""
 
     degree: int = 32
     build_beam: int = 48
@@ -37,6 +37,7 @@ class Graph:
     alpha: float = 1.2
     shard_rows: int = 8192
     query_rows: int = 2048
+    blocks_a_task: int = 16
     batch: int = 512
 
 
@@ -205,7 +206,7 @@ def nearest(vectors: DataFrame, queries: DataFrame | None = None, id_col: str =
     sizes = {r.bytes: r.n for r in distinct.groupBy(F.length("v").alias("bytes")).agg(F.count("*").alias("n")).collect()}
     schema_shards = "dim int, shard int, n int, x binary, ids binary, counts binary, graph binary, start int"
     shards = {size: max(1, round(n / cfg.shard_rows)) for size, n in sizes.items()}
-    many = F.coalesce(F.element_at(F.create_map(*[F.lit(k) for s, n in shards.items() for k in (s, n)]), F.length("v")), F.lit(1)) if shards else F.lit(1)
+    many = F.coalesce(F.element_at(F.create_map(*[F.lit(k) for s, n in shards.items() for k in (s, n)]), F.col("dim")), F.lit(1)) if shards else F.lit(1)
 
     def make(key, table):
         dim = key[0].as_py()
@@ -255,8 +256,12 @@ def nearest(vectors: DataFrame, queries: DataFrame | None = None, id_col: str =
                 if out_q:
                     yield pa.RecordBatch.from_arrays([pa.array(out_q, pa.int64()), pa.array(np.concatenate(out_v)), pa.array(np.concatenate(out_d))], ["query_id", "vec_id", "score"])
 
-    # every shard meets every block of queries: a stated query set against all rows
-    over = index.join(gathered, "dim").select("n", "x", "ids", "counts", "graph", "start", "q")
+    # every shard meets every block of queries, a stated query set against all rows: pairs of a shard and a few blocks are dealt one by one
+    parts = max(1, -(-blocks // cfg.blocks_a_task))
+    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    of_part = index.withColumn("part", every(F.lit(parts)))
+    of_shard = gathered.withColumn("part", F.pmod("block", F.lit(parts)).cast("int")).withColumn("shard", every(many))
+    over = of_part.join(of_shard, ["dim", "shard", "part"]).select("n", "x", "ids", "counts", "graph", "start", "q")
     hits = over.mapInArrow(search, "query_id long, vec_id long, score double").groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id")).cast("int")
     return hits.withColumn("rank", rank).where(F.col("rank") <= top).select("query_id", "rank", "vec_id", "score")
