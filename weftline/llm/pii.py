@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from weftline.llm.scratch import Scratch
 
 KINDS = ("email", "ip", "card", "phone", "id")
+_SPACE = r"[\x20\x09-\x0D]+"
 _LOCAL = "[A-Za-z0-9._%+-]"
 EMAIL = rf"(?:\G|(?<!{_LOCAL})){_LOCAL}++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
 IP = r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}"
@@ -47,7 +48,6 @@ class Bootstrap:
     words: int = 3
     confidence: float = 0.6
     support: int = 3
-    context_chars: int = 60
 
 
 _FOUND = "array<struct<kind:string,start:bigint,end:bigint,token:string,before:string>>"
@@ -57,22 +57,28 @@ def _none() -> Column:
     return F.array().cast(_FOUND)
 
 
-def found(text: Column, kind: str, pattern: str, maybe: Column, chars: int) -> Column:
-    """Matches of ``pattern`` with offsets and what stands before; not looked for unless ``maybe``."""
+def _last(text: Column, words: int) -> Column:
+    """The last ``words`` pieces between white space, joined by one space; the last piece is empty where white space ends the text."""
+    return F.array_join(F.slice(F.concat(F.array_repeat(F.lit(""), words), F.split(text, _SPACE, -1)), -words - 1, words + 1), " ")
+
+
+def found(text: Column, kind: str, pattern: str, maybe: Column, words: int) -> Column:
+    """Matches of ``pattern`` with offsets and the last words before; not looked for unless ``maybe``."""
     # pieces are one more than matches: piece i stands before match i
     both = F.arrays_zip(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m"), F.split(text, pattern, -1).alias("g"))
-    one = lambda at, x: F.struct(
+    tail = lambda out: F.when(F.size(out) > 0, F.concat_ws("", F.element_at(out, -1)["before"], F.element_at(out, -1)["token"])).otherwise("")
+    one = lambda acc, x: F.struct(
         F.lit(kind).alias("kind"),
-        (at + F.length(x["g"])).cast("long").alias("start"),
-        (at + F.length(x["g"]) + F.length(x["m"])).cast("long").alias("end"),
+        (acc["at"] + F.length(x["g"])).cast("long").alias("start"),
+        (acc["at"] + F.length(x["g"]) + F.length(x["m"])).cast("long").alias("end"),
         x["m"].alias("token"),
-        F.right(x["g"], F.lit(chars)).alias("before"),
+        _last(F.concat(tail(acc["out"]), x["g"]), words).alias("before"),
     )
     start = F.struct(F.lit(0).cast("long").alias("at"), _none().alias("out"))
     walked = F.aggregate(
         both,
         start,
-        lambda acc, x: F.when(x["m"].isNull(), acc).otherwise(F.struct((acc["at"] + F.length(x["g"]) + F.length(x["m"])).cast("long").alias("at"), F.concat(acc["out"], F.array(one(acc["at"], x))).alias("out"))),
+        lambda acc, x: F.when(x["m"].isNull(), acc).otherwise(F.struct((acc["at"] + F.length(x["g"]) + F.length(x["m"])).cast("long").alias("at"), F.concat(acc["out"], F.array(one(acc, x))).alias("out"))),
     )["out"]
     return F.when(maybe, walked).otherwise(_none())
 
@@ -92,21 +98,21 @@ def _digits(token: Column) -> Column:
     return F.length(F.regexp_replace(token, "[^0-9]", ""))
 
 
-def base_spans(text: Column, chars: int) -> Column:
+def base_spans(text: Column, words: int) -> Column:
     """The four base kinds, in their order, as structs kind, start, end, token, before."""
     some = F.regexp_like(text, F.lit("[0-9]"))
-    email = found(text, "email", EMAIL, F.instr(text, "@") > 0, chars)
-    ip = F.filter(found(text, "ip", IP, F.regexp_like(text, F.lit(r"[0-9]\.[0-9]")), chars), lambda x: _byte_parts(x["token"]))
-    card = F.filter(found(text, "card", CARD, some, chars), lambda x: luhn(x["token"]))
-    phone = F.filter(found(text, "phone", PHONE, F.regexp_like(text, F.lit(r"\+[0-9]")), chars), lambda x: _digits(x["token"]).between(8, 15))
+    email = found(text, "email", EMAIL, F.instr(text, "@") > 0, words)
+    ip = F.filter(found(text, "ip", IP, F.regexp_like(text, F.lit(r"[0-9]\.[0-9]")), words), lambda x: _byte_parts(x["token"]))
+    card = F.filter(found(text, "card", CARD, some, words), lambda x: luhn(x["token"]))
+    phone = F.filter(found(text, "phone", PHONE, F.regexp_like(text, F.lit(r"\+[0-9]")), words), lambda x: _digits(x["token"]).between(8, 15))
     return F.concat(email, ip, card, phone)
 
 
 def patterns(before: Column, words: int) -> Column:
     """Hashes of the last one to ``words`` words before an instance, in lower case and with digits as 0."""
-    flat = F.split(F.trim(F.regexp_replace(F.regexp_replace(F.lower(before), "[0-9]", "0"), r"[\x20\x09-\x0D]+", " ")), " ")
+    flat = F.split(F.trim(F.regexp_replace(F.regexp_replace(F.lower(before), "[0-9]", "0"), _SPACE, " ")), " ")
     last = [F.when((F.size(flat) >= n) & (F.element_at(flat, -1) != ""), F.xxhash64(F.lit(n), F.array_join(F.slice(flat, -n, n), " "))) for n in range(1, words + 1)]
-    return F.filter(F.array(*[F.when(F.size(flat) >= n + 1, x) if n > 1 else x for n, x in enumerate(last, 1)]), lambda p: p.isNotNull())
+    return F.filter(F.array(*last), lambda p: p.isNotNull())
 
 
 def extract(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", cfg: Bootstrap = Bootstrap()) -> DataFrame:
@@ -114,7 +120,7 @@ def extract(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", cfg
     scratch = Scratch(docs.sparkSession, "pii")
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     first = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"))
-    seen = first.select("doc_id", base_spans(F.col("text"), cfg.context_chars).alias("base"), found(F.col("text"), "id", SHAPE, F.regexp_like("text", F.lit("[0-9]")), cfg.context_chars).alias("shaped"))
+    seen = first.select("doc_id", base_spans(F.col("text"), cfg.words).alias("base"), found(F.col("text"), "id", SHAPE, F.regexp_like("text", F.lit("[0-9]")), cfg.words).alias("shaped"))
     apart = F.filter("shaped", lambda s: ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
     slim = lambda x: F.struct(
         x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end"), F.xxhash64(x["token"]).alias("instance"),
