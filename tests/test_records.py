@@ -45,9 +45,9 @@ def test_layout(spark):
     order = [r.text for r in P.ordered(blocks, pages).where("page = 0").orderBy("place").collect()]
     assert order == ["title", *[f"l{k}" for k in range(5)], *[f"r{k}" for k in range(5)]]
     assert [r.text for r in P.ordered(blocks, pages).where("page = 1").orderBy("place").collect()] == [f"o{k}" for k in range(7)]
-    assert {r.text for r in P.edge_lines(blocks, pages).collect()} == {"title", "o0"}
-    texts = spark.createDataFrame([(1, 0, "Page 1\nbody of it-\nself\n\n\n\nend"), (1, 1, "Page 2"), (1, 2, None)], "doc long, page long, text string")
-    keys = spark.createDataFrame([("page",)], "key string")
+    assert {r.text for r in P.edge_lines(blocks, pages).collect()} == {"title", "o0", "o1"}
+    texts = spark.createDataFrame([(1, 0, "Page 1\nbody of it-\nself\n\n\n\nend"), (1, 1, "Page  2"), (1, 2, None)], "doc long, page long, text string")
+    keys = spark.createDataFrame([("page #",)], "key string")
     assert [r.text for r in P.strip(texts, keys, ["doc", "page"]).orderBy("page").collect()] == ["body of itself\n\nend", "", ""]
     stats = P.page_stats(texts, P.gutters(blocks, pages)).collect()[0]
     assert (stats.pages, stats.two_columns) == (3, 1)
@@ -56,6 +56,19 @@ def test_layout(spark):
     assert line.slope == pytest.approx(0.05) and line.offset == pytest.approx(-0.5)
 
 
+def test_page_texts(spark):
+    """Furniture by document, soft hyphens, both hyphen rules, headings and the files of an extraction."""
+    body = [(1, k, 10.0, 200.0, 590.0, 400.0, f"soft\u00adware is bro-\nken and co- \n de\t\tof {k}") for k in range(4)] + [(1, k, 10.0, 10.0, 590.0, 30.0, f"Journal {k + 8}") for k in range(4)] + [(2, 0, 10.0, 200.0, 590.0, 400.0, "other")]
+    blocks = spark.createDataFrame(body, "doc long, page long, x0 double, y0 double, x1 double, y1 double, text string")
+    pages = spark.createDataFrame([(1, k, 600.0, 800.0) for k in range(4)] + [(2, 0, 600.0, 800.0), (2, 1, 600.0, 800.0)], "doc long, page long, width double, height double")
+    made = P.page_texts(blocks, blocks, pages)
+    got = {(r.doc, r.page): (r.cols, r.text) for r in made.collect()}
+    assert got == {(1, k): (1, f"software is broken and code of {k}") for k in range(4)} | {(2, 0): (1, "other"), (2, 1): (0, "")}
+    assert P.page_texts(blocks, blocks, pages, keep=True).where("text like 'Journal%'").count() == 4
+    bar = "=" * 72
+    assert {r.doc: r.text for r in P.documents(made).collect()}[2] == f"\n\n{bar}\n[page 1 / 2]  cols=1\n{bar}\n\nother\n\n{bar}\n[page 2 / 2]  cols=0\n{bar}\n\n"
+
+
 @pytest.mark.parametrize("name", sorted(H.HEADS))
 def test_heads(name):
     h = np.random.default_rng(0).normal(size=(6, 8))

@@ -1,5 +1,7 @@
 """Graph files and generated graphs."""
 
+import pytest
+
 from weftline.sources import generators as gen
 from weftline.sources import readers
 
@@ -36,3 +38,25 @@ def test_generated(spark):
     grown = gen.preferential(sized, 3, seed=4)
     assert grown.count() == 3 * (total - 12) == grown.distinct().count() and grown.exceptAll(gen.preferential(sized, 3, seed=4)).count() == 0
     assert gen.hypergraph(sized, 5, 3).where("node_id < 0").count() == 0 and gen.hypergraph(sized, 5, 3).select("graph_id", "hyperedge_id").distinct().count() == 20
+
+
+def test_folders_of_files(spark, tmp_path):
+    """Weights by the first row, formats by suffix, labels as numbers, sizes, and batches of files."""
+    at = tmp_path / "nets"
+    (at / "below").mkdir(parents=True)
+    (at / "a.edges").write_text("# note\n10 9\n9 x 7.5\n")
+    (at / "b.csv").write_text("0,1,2.5\n1,2,-1\n")
+    (at / "below" / "c.col").write_text("p edge 4 2\ne 1 2\ne 2 3\n")
+    (at / "below" / "skip.dat").write_text("0 1\n")
+    nodes, edges = readers.load_graphs(spark, str(at))
+    name = lambda g: g.rsplit("/", 1)[-1]
+    assert sorted((name(r.graph_id), r.node_id, r.label) for r in nodes.collect()) == [("a.edges", 0, "9"), ("a.edges", 1, "10"), ("a.edges", 2, "x"), ("b.csv", 0, "0"), ("b.csv", 1, "1"), ("b.csv", 2, "2"), *[("c.col", k, str(k + 1)) for k in range(4)]]
+    assert sorted((name(r.graph_id), r.src, r.dst, r.weight) for r in edges.collect()) == [("a.edges", 0, 1, 1.0), ("a.edges", 0, 2, 1.0), ("b.csv", 0, 1, 2.5), ("b.csv", 1, 2, -1.0), ("c.col", 0, 1, 1.0), ("c.col", 1, 2, 1.0)]
+    assert readers.load_graphs(spark, str(at), max_nodes=3)[0].select("graph_id").distinct().count() == 2
+    assert readers.load_graph(spark, str(at / "below" / "skip.dat"))[0].count() == 2
+    files = readers.FileDataset(spark, str(at))
+    drawn = files.sample(5, seed=3)
+    assert drawn[0].select("graph_id").distinct().count() == 5 and drawn[1].count() == 10
+    assert readers.FileDataset(spark, str(at), mode="all").sample(1)[1].count() == 6
+    with pytest.raises(FileNotFoundError):
+        readers.load_graphs(spark, str(at / "below"), fmt="auto", max_nodes=1)

@@ -52,3 +52,13 @@ def median_low(values: Column) -> Column:
     """The lower of the two middle values of an array."""
     s = F.sort_array(values)
     return F.element_at(s, F.floor((F.size(s) + 1) / 2).cast("int"))
+
+
+def mostly(test: Column, share: float = 0.9) -> Column:
+    """Aggregate: whether ``test`` holds for at least ``share`` of the rows."""
+    return F.avg(test.cast("int")) >= share
+
+
+def masked_mean(x: Column, mask: Column) -> Column:
+    """Aggregate: the mean of ``x`` where ``mask`` holds, 0 where it holds nowhere."""
+    return F.coalesce(F.sum(F.when(mask, x)), F.lit(0.0)) / F.greatest(F.count(F.when(mask, 1)), F.lit(1))

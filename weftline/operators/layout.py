@@ -8,12 +8,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftline.operators.text import clean, line_form
+from weftline.operators.text import block_text, clean, furniture, line_form
 
 PAGE = ["doc", "page"]
 #: Gutter candidates and margins as shares of the page, heading sizes in points.
-GUTTER = {"from": 0.28, "to": 0.72, "steps": 239}
-MARGIN = 0.085
+GUTTER = {"from": 0.28, "to": 0.72, "steps": 240}
+TOP, BOTTOM, EDGE_LENGTH = 0.085, 0.915, 120
+SPARSE = 40
 HEADING = {"large": 10.5, "bold": 8.5, "bold_length": 60, "length": 90}
 
 
@@ -23,12 +24,13 @@ def gutters(blocks: DataFrame, pages: DataFrame) -> DataFrame:
     The best x has most blocks on its poorer side, less three for each block across it; the first of equals wins.
     """
     inside = blocks.join(pages.select(*PAGE, "width"), PAGE).groupBy(*PAGE).agg(F.first("width").alias("width"), F.collect_list(F.struct("x0", "x1")).alias("b"))
-    xs = F.transform(F.sequence(F.lit(0), F.lit(GUTTER["steps"] - 1)), lambda k: F.col("width") * (GUTTER["from"] + k * (GUTTER["to"] - GUTTER["from"]) / (GUTTER["steps"] - 1)))
+    # the inner points of so many steps
+    xs = F.transform(F.sequence(F.lit(1), F.lit(GUTTER["steps"] - 1)), lambda k: F.col("width") * (F.lit(GUTTER["from"]) + F.lit(GUTTER["to"] - GUTTER["from"]) * k / GUTTER["steps"]))
     at = inside.where(F.size("b") >= 6).select(*PAGE, "b", F.posexplode(xs).alias("k", "x"))
     many = lambda test: F.size(F.filter("b", test))
     left, right = many(lambda b: b["x1"] <= F.col("x")), many(lambda b: b["x0"] >= F.col("x"))
     cross = F.size("b") - F.col("left") - F.col("right")
-    found = at.withColumn("left", left).withColumn("right", right).withColumn("cross", cross).where((F.col("left") >= 4) & (F.col("right") >= 4) & (F.col("cross") <= F.greatest(F.lit(2), F.floor(0.15 * F.size("b")))))
+    found = at.withColumn("left", left).withColumn("right", right).withColumn("cross", cross).where((F.col("left") >= 4) & (F.col("right") >= 4) & (F.col("cross") <= F.greatest(F.lit(2), F.floor(F.size("b") * F.lit(0.15)))))
     best = found.groupBy(*PAGE).agg(F.max_by("x", F.struct(F.least("left", "right") - 3 * F.col("cross"), -F.col("k"))).alias("gutter"))
     return best
 
@@ -44,20 +46,63 @@ def ordered(blocks: DataFrame, pages: DataFrame) -> DataFrame:
     return of.withColumn("tops", tops).withColumn("band", F.when(F.col("gutter").isNull(), 0).otherwise(band)).withColumn("column", column).withColumn("place", F.row_number().over(place) - 1).drop("tops", "gutter")
 
 
+def page_blocks(blocks: DataFrame) -> DataFrame:
+    """Blocks with their text cleaned, less those without any."""
+    return blocks.withColumn("text", block_text(F.col("text"))).where("text != ''")
+
+
 def edge_lines(lines: DataFrame, pages: DataFrame) -> DataFrame:
-    """Short lines in the top or bottom margin."""
-    of = lines.join(pages.select(*PAGE, "height"), PAGE)
-    return of.where(((F.col("y1") <= F.col("height") * MARGIN) | (F.col("y0") >= F.col("height") * (1 - MARGIN))) & (F.length("text") <= 120)).drop("height")
+    """Short lines that begin in the top margin or end in the bottom one, cleaned."""
+    of = page_blocks(lines).join(pages.select(*PAGE, "height"), PAGE)
+    return of.where(((F.col("y0") / F.col("height") < TOP) | (F.col("y1") / F.col("height") > BOTTOM)) & (F.length("text") <= EDGE_LENGTH)).drop("height")
 
 
-def strip(texts: DataFrame, keys: DataFrame, key: list[str], text: str = "text") -> DataFrame:
-    """Texts less the lines whose form is one of ``keys``, order kept, cleaned."""
+def strip(texts: DataFrame, keys: DataFrame, key: list[str], text: str = "text", of: list[str] | None = None) -> DataFrame:
+    """Texts less the lines whose form is one of ``keys`` (of the same document, where ``of`` names it), order kept, cleaned."""
     rows = texts.select(*key, F.posexplode(F.split(text, "\n")).alias("at", "line")).withColumn("key", line_form(F.col("line")))
-    kept = rows.join(keys.select("key"), "key", "left_anti").groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("at", "line"))).alias("l"))
+    kept = rows.join(keys.select(*(of or []), "key"), [*(of or []), "key"], "left_anti").groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("at", "line"))).alias("l"))
     joined = texts.select(*key).join(kept, key, "left")
     return joined.select(*key, F.coalesce(clean(F.array_join("l.line", "\n")), F.lit("")).alias(text))
 
 
+def page_texts(blocks: DataFrame, lines: DataFrame, pages: DataFrame, keep: bool = False) -> DataFrame:
+    """doc, page, cols (0 without blocks), gutter_x, text and chars of every page: blocks in reading order, furniture gone unless ``keep``, words and empty lines mended."""
+    found = page_blocks(blocks)
+    two = gutters(found, pages).select(*PAGE, F.round("gutter", 1).alias("gutter_x"))
+    texts = ordered(found, pages).groupBy(*PAGE).agg(F.array_sort(F.collect_list(F.struct("place", "text"))).alias("b")).select(*PAGE, F.array_join("b.text", "\n").alias("text"))
+    if not keep:
+        black = furniture(edge_lines(lines, pages), "page", "text", of=["doc"], pages=pages)
+        texts = strip(texts, black, PAGE, of=["doc"])
+    else:
+        texts = texts.withColumn("text", clean(F.col("text")))
+    of = pages.select(*PAGE).join(texts, PAGE, "left").join(two, PAGE, "left")
+    cols = F.when(F.col("text").isNull(), 0).when(F.col("gutter_x").isNull(), 1).otherwise(2)
+    return of.select(*PAGE, cols.alias("cols"), "gutter_x", F.coalesce("text", F.lit("")).alias("text")).withColumn("chars", F.length("text"))
+
+
+def documents(made: DataFrame) -> DataFrame:
+    """doc and its whole text, each page under a heading with its number and columns. A document's text is gathered in one row."""
+    bar = "=" * 72
+    n = F.count("*").over(Window.partitionBy("doc"))
+    at = F.row_number().over(Window.partitionBy("doc").orderBy("page"))
+    head = F.format_string(f"\n\n{bar}\n[page %d / %d]  cols=%d\n{bar}\n\n%s", at, n, F.col("cols"), F.col("text"))
+    of = made.select("doc", at.alias("at"), head.alias("chunk"))
+    return of.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("at", "chunk"))).alias("c")).select("doc", F.array_join("c.chunk", "").alias("text"))
+
+
+def meta(made: DataFrame, black: DataFrame) -> DataFrame:
+    """doc and a JSON text of its pages, furniture and per-page figures."""
+    per = made.groupBy("doc").agg(F.count("*").alias("pages"), F.array_sort(F.collect_list(F.struct("page", "cols", "gutter_x", "chars"))).alias("per_page"))
+    gone = black.groupBy("doc").agg(F.array_sort(F.collect_list("key")).alias("furniture_removed"))
+    of = per.join(gone, "doc", "left").withColumn("furniture_removed", F.coalesce("furniture_removed", F.array().cast("array<string>")))
+    return of.select("doc", F.to_json(F.struct("pages", "furniture_removed", "per_page")).alias("json"))
+
+
+def outline(lines: DataFrame) -> DataFrame:
+    """doc, page, size (one decimal), bold and text of headings. ``lines`` have size (their largest) and bold (any part)."""
+    return page_blocks(lines).where(heading(F.col("size"), F.col("bold"), F.col("text"))).select(*PAGE, F.round("size", 1).alias("size"), "bold", "text")
+
+
 def heading(size: Column, bold: Column, text: Column) -> Column:
     return (F.length(text) <= HEADING["length"]) & ((size >= HEADING["large"]) | (bold & (size >= HEADING["bold"]) & (F.length(text) < HEADING["bold_length"])))
 
@@ -65,7 +110,7 @@ def heading(size: Column, bold: Column, text: Column) -> Column:
 def page_stats(texts: DataFrame, two: DataFrame) -> DataFrame:
     """Per document: pages, pages of two columns, characters, pages of fewer than 40."""
     of = texts.join(two.select(*PAGE, F.lit(1).alias("two")), PAGE, "left")
-    return of.groupBy("doc").agg(F.count("*").alias("pages"), F.count("two").alias("two_columns"), F.sum(F.length("text")).cast("long").alias("chars"), F.sum((F.length("text") < 40).cast("long")).alias("sparse"))
+    return of.groupBy("doc").agg(F.count("*").alias("pages"), F.count("two").alias("two_columns"), F.sum(F.length("text")).cast("long").alias("chars"), F.sum((F.length("text") < SPARSE).cast("long")).alias("sparse"))
 
 
 def axis(ticks: DataFrame, key: list[str]) -> DataFrame:

@@ -311,7 +311,7 @@ def standardise(spark, sf_dir):
     return W.standardise(table(spark, sf_dir, "events"), "event_type", "value").select("event_id", _r("z").alias("z"))
 
 
-@query("with l as (select distinct doc_id, unnest(string_split(text, chr(10))) line from documents), k as (select lower(regexp_replace(trim(line), '[0-9\\s]+', '', 'g')) key from l) select key, count(*) n from k where length(key) >= 4 group by 1 having count(*) >= (select greatest(3, floor(count(distinct doc_id) * 0.01)) from l)", view=False)
+@query(r"with l as (select distinct doc_id, unnest(string_split(text, chr(10))) line from documents), k as (select lower(trim(regexp_replace(regexp_replace(line, '\p{Nd}+', '#', 'g'), '[\s\x0B\x1C-\x1F\x{85}\p{Z}]+', ' ', 'g'))) key from l) select key, count(*) n from k where length(key) >= 4 group by 1 having count(*) >= (select greatest(3, floor(count(distinct doc_id) * 0.01)) from l)", view=False)
 def furniture_lines(spark, sf_dir):
     lines = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("page"), F.explode(F.split("text", "\n")).alias("line"))
     return T.furniture(lines, share=0.01)

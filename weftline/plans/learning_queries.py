@@ -150,12 +150,16 @@ def trained_policies(spark, sf_dir):
     return T.sweep(spark, [(k, "cover", 0) for k in T.LEARNERS])
 
 
-_BLANKS = "trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '([A-Za-z])-\\n([a-z])', '\\1\\2', 'g'), '[ \\t]+\\n', chr(10), 'g'), '[ \\t]{2,}', ' ', 'g'), '\\n{3,}', chr(10) || chr(10), 'g'))"
+_SP = "[\\s\\x0B\\x1C-\\x1F\\x{85}\\p{Z}]"
+_ENDS = f"'^{_SP}+|{_SP}+$', '', 'g')"
+_BLOCK = f"regexp_replace(regexp_replace(replace(text, chr(173), ''), '[ \\t]+', ' ', 'g'), {_ENDS}"
+_HYPHENS = f"regexp_replace(regexp_replace({_BLOCK}, '([A-Za-z])-\\n([a-z])', '\\1\\2', 'g'), '([A-Za-z])-{_SP}*\\n{_SP}*([a-z])', '\\1\\2', 'g')"
+_PAGE = f"regexp_replace(regexp_replace({_HYPHENS}, '\\n{{3,}}', chr(10) || chr(10), 'g'), {_ENDS}"
 
 
-@query(f"select doc_id, length(x)::int n, md5(x) digest from (select doc_id, {_BLANKS} x from documents)", view=False)
+@query(f"select doc_id, length(x)::int n, md5(x) digest from (select doc_id, {_PAGE} x from documents)", view=False)
 def dehyphenated_text(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", X.clean(F.col("text")).alias("x")).select("doc_id", F.length("x").alias("n"), F.md5("x").alias("digest"))
+    return table(spark, sf_dir, "documents").select("doc_id", X.clean(X.block_text(F.col("text"))).alias("x")).select("doc_id", F.length("x").alias("n"), F.md5("x").alias("digest"))
 
 
 @query()

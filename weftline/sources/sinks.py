@@ -51,3 +51,12 @@ def relation_page(records: DataFrame, edges: DataFrame, path: str, mode: str = "
     one = records.select(F.lit("nodes").alias("part"), F.to_json(F.struct(*records.columns)).alias("value"))
     two = edges.select(F.lit("edges").alias("part"), F.to_json(F.struct(*edges.columns)).alias("value"))
     one.unionByName(two).write.mode(mode).partitionBy("part").text(path)
+
+
+def extracted(made: DataFrame, whole: DataFrame, described: DataFrame, headings: DataFrame, path: str, mode: str = "errorifexists") -> None:
+    """What extraction gives of documents, a folder each: whole text, JSON of figures, headings and the text of every page."""
+    whole.select("doc", F.col("text").alias("value")).write.mode(mode).partitionBy("doc").text(f"{path}/txt")
+    described.select("doc", F.col("json").alias("value")).write.mode(mode).partitionBy("doc").text(f"{path}/meta")
+    line = F.format_string("p%3d  %5s  %s  %s", F.col("page"), F.col("size").cast("string"), F.when(F.col("bold"), "B").otherwise(" "), F.col("text"))
+    headings.repartitionByRange("doc", "page").sortWithinPartitions("doc", "page").select("doc", line.alias("value")).write.mode(mode).partitionBy("doc").text(f"{path}/outline")
+    made.select("doc", "page", F.col("text").alias("value")).write.mode(mode).partitionBy("doc", "page").text(f"{path}/pages")
