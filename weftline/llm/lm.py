@@ -4,10 +4,9 @@ Words and word pairs of the training documents are counted over all of them.
 Counts are quantised on a log scale; an n-gram of level q enters the filter as
 the q items (n-gram, 1) .. (n-gram, q), so a count is read back by probing
 levels until one is missing. Every pair enters, those seen once too (``min_pair``). The filter
-is split into segments by the n-gram's hash: each is built in one task, they are
-sent to the workers only if all together stay under ``most_broadcast`` bytes,
-and beyond that, or beyond ``most_segments`` segments, exact counts are joined
-from tables by n-gram (``lm_join``).
+is split into segments by the n-gram's hash, each built in one task. They are sent
+to the workers if all together stay under ``most_broadcast`` bytes; beyond that the
+probes go to the segments (``lm_segments``), with the same levels and scores.
 
 Probabilities interpolate pair and word estimates. The weight depends on the
 level of the left word and is fitted by expectation maximisation on leave-one-out
@@ -46,16 +45,16 @@ LEVELS = 64
 
 @dataclass(frozen=True)
 class LogBloom:
-    """Log base of the quantiser, bits and probes an item, least count of a pair, tokens a segment, bounds of segments and of what is broadcast."""
+    """Log base of the quantiser, bits and probes an item, least count of a pair, tokens a segment, bounds of what is broadcast, tokens whose probes travel together."""
 
     base: float = 1.6
     bits: int = 12
     probes: int = 6
     min_pair: int = 1
     segment_tokens: int = 4_000_000
-    most_segments: int = 2048
-    most_broadcast: int = 256 << 20
+    most_broadcast: int = 128 << 20
     frequent_limit: int = 1_000_000
+    group_tokens: int = 1 << 20
 
     def level(self, count: np.ndarray) -> np.ndarray:
         """Level of counts of at least 1."""
@@ -169,8 +168,8 @@ def _word_counts(train: DataFrame) -> DataFrame:
     return train.select("text").mapInArrow(per_batch, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
 
 
-def _pair_levels(train: DataFrame, segments: int, cfg: LogBloom, as_bits: bool) -> DataFrame:
-    """Filters of the pairs by segment, or (key, level) where ``as_bits`` is off."""
+def _pair_bits(train: DataFrame, segments: int, cfg: LogBloom) -> DataFrame:
+    """Filters of the pairs by segment."""
 
     def keyed(data, at):
         token, at = tokens(data, at)
@@ -200,14 +199,10 @@ def _pair_levels(train: DataFrame, segments: int, cfg: LogBloom, as_bits: bool)
             heads = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
             keys, n = keys[heads], np.add.reduceat(n, heads)
             keys, n = keys[n >= cfg.min_pair], n[n >= cfg.min_pair]
-            level = cfg.level(n)
-            if as_bits:
-                yield pa.RecordBatch.from_arrays([pa.array([s]), pa.array([segment_bits(cfg, keys, level).tobytes()], pa.binary())], ["segment", "bits"])
-            else:
-                yield pa.RecordBatch.from_arrays([pa.array(tk.as_long(keys)), pa.array(level)], ["key", "level"])
+            yield pa.RecordBatch.from_arrays([pa.array([s]), pa.array([segment_bits(cfg, keys, cfg.level(n)).tobytes()], pa.binary())], ["segment", "bits"])
 
     packed = train.select("text").mapInArrow(pack, "segment long, keys binary, counts binary").repartition("segment")
-    return packed.mapInArrow(merge, "segment long, bits binary" if as_bits else "key long, level long")
+    return packed.mapInArrow(merge, "segment long, bits binary")
 
 
 def _word_bits(counts: DataFrame, segments: int, cfg: LogBloom) -> DataFrame:
@@ -239,29 +234,39 @@ def _filter(frame: DataFrame, segments: int, cfg: LogBloom) -> Filter:
 
 @dataclass
 class Model:
-    """What scoring needs; broadcast to the workers."""
+    """Counts of training and, where they are broadcast, the filters."""
 
     cfg: LogBloom
-    words: Filter
-    pairs: Filter
+    words: Filter | None
+    pairs: Filter | None
     n: int
     v: int
 
-    def parts(self, data: np.ndarray, at: np.ndarray):
-        """Tokens by row: offsets, distinct tokens, which of them each is, counts of pair, word and left word, and the left word's level."""
-        token, at = tokens(data, at)
-        uniq, which = np.unique(token, return_inverse=True)
+    def measured(self, frequent: tuple, ids: pa.Array, held: pa.Array, token: np.ndarray, at: np.ndarray, uniq: np.ndarray, which: np.ndarray, level: np.ndarray, pair_level: np.ndarray) -> tuple[pa.RecordBatch, np.ndarray]:
+        """A record for each row, and how often training tokens fall in each cell with one occurrence left out.
+
+        ``token``: hashes of all rows, by offsets ``at``; ``uniq[which]`` is the same; ``level``: of ``uniq``; ``pair_level``: by token.
+        """
         count = self.cfg.decoded()
-        level = self.words.levels(uniq)
-        left = left_of(token, at)
         mine = level[which]
-        left_level = np.empty(len(token), np.int64)
-        left_level[1:] = mine[:-1]
-        left_level[at[:-1]] = LEVELS - 1
-        pair = count[self.pairs.levels(pair_key(left, token))]
+        left = np.empty(len(token), np.int64)
+        left[1:] = mine[:-1]
+        left[at[:-1]] = LEVELS - 1
+        pair = count[pair_level]
         # a row's first token has no counted left word; its pair estimate is left out
         pair[at[:-1]] = 0
-        return at, uniq, which, pair, count[mine], count[left_level], left_level
+        some = np.repeat(~held.to_numpy(zero_copy_only=False).astype(bool), np.diff(at))
+        hits = np.bincount(self.cells(pair[some], count[mine[some]], count[left[some]], left[some], less=1), minlength=LEVELS * CELLS)
+        cell = self.cells(pair, count[mine], count[left], left).astype(np.uint16)
+        total = np.add.reduceat(np.log10(self.word(count[mine])), at[:-1])
+        signed = tk.as_long(uniq)
+        c = exact(*frequent, signed, -1)
+        known = (c >= 0)[which]
+        base = np.add.reduceat(np.where(known, np.log10((np.maximum(c, 0) + 0.5) / (self.n + 0.5 * (self.v + 1)))[which], 0), at[:-1])
+        row = np.repeat(np.arange(len(at) - 1), np.diff(at))[~known]
+        rare = pa.ListArray.from_arrays(pa.array(np.searchsorted(row, np.arange(len(at))).astype(np.int32)), pa.array(signed[which[~known]]))
+        blobs = pa.Array.from_buffers(pa.binary(), len(at) - 1, [None, pa.py_buffer((2 * at).astype(np.int32)), pa.py_buffer(cell)])
+        return _batch(ids, held, np.diff(at), np.add.reduceat(known.astype(np.int64), at[:-1]), base, total, rare, blobs), hits
 
     def word(self, count: np.ndarray, less: int = 0) -> np.ndarray:
         return (np.maximum(count - less, 0) + 0.5) / (max(self.n - less, 0) + 0.5 * (self.v + 1))
@@ -325,6 +330,16 @@ def _weights(cells: np.ndarray) -> np.ndarray:
     return out
 
 
+RECORD = "doc_id long, held_out boolean, n_tokens long, known long, base double, words double, rare array<long>, cells binary"
+
+
+def histogram(hits: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """What a task has gathered of training cells, as one record that is no row."""
+    if hits.any():
+        used = np.flatnonzero(hits)
+        yield _batch([None], [None], [-1], [0], [0.0], [0.0], [hits[used]], [used.astype(np.uint16).tobytes()])
+
+
 def _batch(*columns) -> pa.RecordBatch:
     kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.int64()), pa.binary()]
     arrays = [c if isinstance(c, pa.Array) else pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]
@@ -333,7 +348,7 @@ def _batch(*columns) -> pa.RecordBatch:
 
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fold: int = 1, folds: int = 5, cfg: LogBloom = LogBloom()) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score, one row per row of ``docs``."""
-    from weftline.llm import lm_join
+    from weftline.llm import lm_segments
 
     spark = docs.sparkSession
     scratch = Scratch(spark, "lm")
@@ -343,46 +358,32 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fold:
     n, v = counts.agg(F.sum("n"), F.count("*")).first()
     n = int(n or 0)
     v = int(v or 0)
-    known, often = frequent(counts, cfg.frequent_limit)
+    often = frequent(counts, cfg.frequent_limit)
+    under = n + 0.5 * (v + 1)
 
     segments = max(1, -(-n // cfg.segment_tokens))
-    joined = lambda: lm_join.score(rows, counts, (known, often), Model(cfg, None, None, n, v), scratch)
-    if segments * 4 > cfg.most_segments:
-        return joined()
     word_bits = scratch.write("word_bits", _word_bits(counts, segments, cfg))
-    pair_bits = scratch.write("pair_bits", _pair_levels(train, segments * 4, cfg, True))
+    pair_bits = scratch.write("pair_bits", _pair_bits(train, segments * 4, cfg))
     size = sum(f.agg(F.sum(F.length("bits"))).first()[0] or 0 for f in (word_bits, pair_bits))
     if size > cfg.most_broadcast:
-        return joined()
-    model = Model(cfg, _filter(word_bits, segments, cfg), _filter(pair_bits, segments * 4, cfg), n, v)
-    shared = spark.sparkContext.broadcast((model, known, often))
-    under = n + 0.5 * (v + 1)
-
-    def per_batch(batches):
-        model, known, often = shared.value
-        gathered = np.zeros(LEVELS * CELLS, np.int64)
-        for batch in batches:
-            ids, out = batch.column(0), batch.column(2)
-            trained = ~out.to_numpy(zero_copy_only=False).astype(bool)
-            for lo, hi, data, at in tk.chunks(tk.text_column(batch.column(1)), CHUNK):
-                at, uniq, which, pair, count, left, level = model.parts(data, at)
-                some = np.repeat(trained[lo:hi], np.diff(at))
-                gathered += np.bincount(model.cells(pair[some], count[some], left[some], level[some], less=1), minlength=len(gathered))
-                cell = model.cells(pair, count, left, level).astype(np.uint16)
-                total = np.add.reduceat(np.log10(model.word(count)), at[:-1])
-                signed = tk.as_long(uniq)
-                c = exact(known, often, signed, -1)
-                mine = (c >= 0)[which]
-                base = np.add.reduceat(np.where(mine, np.log10((np.maximum(c, 0) + 0.5) / under)[which], 0), at[:-1])
-                row = np.repeat(np.arange(hi - lo), np.diff(at))[~mine]
-                rare = pa.ListArray.from_arrays(pa.array(np.searchsorted(row, np.arange(hi - lo + 1)).astype(np.int32)), pa.array(signed[which[~mine]]))
-                blobs = pa.Array.from_buffers(pa.binary(), hi - lo, [None, pa.py_buffer((2 * at).astype(np.int32)), pa.py_buffer(cell)])
-                yield _batch(ids.slice(lo, hi - lo), out.slice(lo, hi - lo), np.diff(at), np.add.reduceat(mine.astype(np.int64), at[:-1]), base, total, rare, blobs)
-        if gathered.any():
-            used = np.flatnonzero(gathered)
-            yield _batch([None], [None], [-1], [0], [0.0], [0.0], [gathered[used]], [used.astype(np.uint16).tobytes()])
-
-    made = rows.select("doc_id", "text", "held_out").mapInArrow(per_batch, "doc_id long, held_out boolean, n_tokens long, known long, base double, words double, rare array<long>, cells binary")
+        made = lm_segments.records(rows, often, Model(cfg, None, None, n, v), word_bits, pair_bits, segments, scratch)
+    else:
+        shared = spark.sparkContext.broadcast((Model(cfg, _filter(word_bits, segments, cfg), _filter(pair_bits, segments * 4, cfg), n, v), often))
+
+        def per_batch(batches):
+            model, often = shared.value
+            gathered = np.zeros(LEVELS * CELLS, np.int64)
+            for batch in batches:
+                for lo, hi, data, at in tk.chunks(tk.text_column(batch.column(1)), CHUNK):
+                    token, at = tokens(data, at)
+                    uniq, which = np.unique(token, return_inverse=True)
+                    pairs = model.pairs.levels(pair_key(left_of(token, at), token))
+                    made, hits = model.measured(often, batch.column(0).slice(lo, hi - lo), batch.column(2).slice(lo, hi - lo), token, at, uniq, which, model.words.levels(uniq), pairs)
+                    gathered += hits
+                    yield made
+            yield from histogram(gathered)
+
+        made = rows.select("doc_id", "text", "held_out").mapInArrow(per_batch, RECORD)
     made = scratch.write("scored", made.withColumn("row", F.monotonically_increasing_id()))
 
     def gather(batches):
