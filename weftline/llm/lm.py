@@ -41,6 +41,7 @@ RATIOS = np.linspace(-3, 9, 241)  # log10 edges of pair estimate to word estimat
 CELLS = len(RATIOS) + 1
 CHUNK = 1 << 20
 LEVELS = 64
+LOW = U64(40)
 
 
 @dataclass(frozen=True)
@@ -78,7 +79,7 @@ class Filter:
         out = np.zeros(len(keys), np.int64)
         if not len(keys) or not len(self.bits):
             return out
-        segment = (keys % U64(len(self.size))).astype(np.int64) if len(self.size) > 1 else np.zeros(len(keys), np.int64)
+        segment = segment_of(keys, len(self.size))
         live = np.flatnonzero(self.size[segment] > 0)
         key, begin, size = keys[live], self.begin[segment[live]], self.size[segment[live]].astype(U64)
         level = 1
@@ -95,9 +96,25 @@ class Filter:
         return out
 
 
+def segment_of(keys: np.ndarray, segments: int) -> np.ndarray:
+    """By the high 24 bits of a key; what a segment holds goes by the low 40."""
+    return ((keys >> LOW) % U64(segments)).astype(np.int64)
+
+
+def packed(keys: np.ndarray) -> bytes:
+    """The low 40 bits of keys, five bytes each."""
+    return np.ascontiguousarray(keys).view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
+
+
+def unpacked(blob: bytes) -> np.ndarray:
+    out = np.zeros((len(blob) // 5, 8), np.uint8)
+    out[:, :5] = np.frombuffer(blob, np.uint8).reshape(-1, 5)
+    return out.view(U64).ravel()
+
+
 def hashed(keys: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
     """Two 32-bit hashes of an item, for double hashing."""
-    h = tk.mix(keys ^ U64(tk.mix_int(5, level)))
+    h = tk.mix((keys & U64((1 << 40) - 1)) ^ U64(tk.mix_int(5, level)))
     return h >> U64(32), (h & U64(0xFFFFFFFF)) | U64(1)
 
 
@@ -179,18 +196,18 @@ def _pair_bits(train: DataFrame, segments: int, cfg: LogBloom) -> DataFrame:
         for batch in batches:
             for keys in _groups(batch, keyed, 3 << 20):
                 key, n = np.unique(keys, return_counts=True)
-                part = (key % U64(segments)).astype(np.int64)
+                part = segment_of(key, segments)
                 order = np.argsort(part, kind="stable")
                 key, n, part = key[order], n[order].astype(np.uint32), part[order]
                 heads = np.searchsorted(part, np.arange(segments + 1))
                 used = np.flatnonzero(heads[1:] > heads[:-1])
-                yield pa.RecordBatch.from_arrays([pa.array(used), *(pa.array([x[heads[s] : heads[s + 1]].tobytes() for s in used]) for x in (key, n))], ["segment", "keys", "counts"])
+                yield pa.RecordBatch.from_arrays([pa.array(used), pa.array([packed(key[heads[s] : heads[s + 1]]) for s in used]), pa.array([n[heads[s] : heads[s + 1]].tobytes() for s in used])], ["segment", "keys", "counts"])
 
     def merge(batches):
         held: dict[int, list] = {}
         for batch in batches:
             for s, k, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                held.setdefault(s, []).append((np.frombuffer(k, U64), np.frombuffer(n, np.uint32)))
+                held.setdefault(s, []).append((unpacked(k), np.frombuffer(n, np.uint32)))
         for s in sorted(held):
             parts = held.pop(s)
             keys = np.concatenate([k for k, _ in parts])
@@ -201,8 +218,8 @@ def _pair_bits(train: DataFrame, segments: int, cfg: LogBloom) -> DataFrame:
             keys, n = keys[n >= cfg.min_pair], n[n >= cfg.min_pair]
             yield pa.RecordBatch.from_arrays([pa.array([s]), pa.array([segment_bits(cfg, keys, cfg.level(n)).tobytes()], pa.binary())], ["segment", "bits"])
 
-    packed = train.select("text").mapInArrow(pack, "segment long, keys binary, counts binary").repartition("segment")
-    return packed.mapInArrow(merge, "segment long, bits binary")
+    dealt = train.select("text").mapInArrow(pack, "segment long, keys binary, counts binary").repartition("segment")
+    return dealt.mapInArrow(merge, "segment long, bits binary")
 
 
 def _word_bits(counts: DataFrame, segments: int, cfg: LogBloom) -> DataFrame:
@@ -214,19 +231,18 @@ def _word_bits(counts: DataFrame, segments: int, cfg: LogBloom) -> DataFrame:
         if not keys:
             return
         keys, n = np.concatenate(keys), np.concatenate(n)
-        part = (keys % U64(segments)).astype(np.int64)
+        part = segment_of(keys, segments)
         for s in np.unique(part).tolist():
             mine = part == s
             yield pa.RecordBatch.from_arrays([pa.array([s]), pa.array([segment_bits(cfg, keys[mine], cfg.level(n[mine])).tobytes()], pa.binary())], ["segment", "bits"])
 
-    # the remainder of the unsigned key: low half and high half apart, as the column is signed
-    low, high = F.col("key").bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned("key", 32)
-    segment = ((high % segments) * ((1 << 32) % segments) + low) % segments
+    segment = F.shiftrightunsigned("key", int(LOW)) % segments
     return counts.withColumn("segment", segment).repartition("segment").select("key", "n").mapInArrow(merge, "segment long, bits binary")
 
 
 def _filter(frame: DataFrame, segments: int, cfg: LogBloom) -> Filter:
-    got = {r.segment: np.frombuffer(bytes(r.bits), np.uint8) for r in frame.collect()}
+    # a partition at a time: the driver holds the filter once
+    got = {r.segment: np.frombuffer(bytes(r.bits), np.uint8) for r in frame.toLocalIterator()}
     parts = [got.get(s, np.zeros(0, np.uint8)) for s in range(segments)]
     size = np.array([len(p) * 8 for p in parts], np.int64)
     return Filter(cfg, np.concatenate(parts) if parts else np.zeros(0, np.uint8), np.concatenate([[0], np.cumsum(size)[:-1]]), size)
@@ -365,6 +381,8 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fold:
     word_bits = scratch.write("word_bits", _word_bits(counts, segments, cfg))
     pair_bits = scratch.write("pair_bits", _pair_bits(train, segments * 4, cfg))
     size = sum(f.agg(F.sum(F.length("bits"))).first()[0] or 0 for f in (word_bits, pair_bits))
+    scratch.release()
+    shared = None
     if size > cfg.most_broadcast:
         made = lm_segments.records(rows, often, Model(cfg, None, None, n, v), word_bits, pair_bits, segments, scratch)
     else:
@@ -385,6 +403,10 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fold:
 
         made = rows.select("doc_id", "text", "held_out").mapInArrow(per_batch, RECORD)
     made = scratch.write("scored", made.withColumn("row", F.monotonically_increasing_id()))
+    if shared is not None:
+        shared.destroy()
+    scratch.drop("word_bits", "pair_bits", "groups")
+    scratch.release()
 
     def gather(batches):
         for batch in batches:

@@ -53,7 +53,7 @@ def groups(rows: DataFrame, cfg: lm.LogBloom) -> DataFrame:
 
 def _split(keys: np.ndarray, segments: int) -> tuple[np.ndarray, np.ndarray]:
     """The order that puts keys in that of their segments, and where each segment starts."""
-    part = (keys % lm.U64(segments)).astype(np.int64)
+    part = lm.segment_of(keys, segments)
     order = np.argsort(part, kind="stable")
     return order, np.searchsorted(part[order], np.arange(segments + 1))
 
@@ -84,7 +84,7 @@ def records(rows: DataFrame, often: tuple, model: lm.Model, word_bits: DataFrame
                     used = np.flatnonzero(heads[1:] > heads[:-1])
                     keys = keys[order]
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(len(used), kind)), pa.array(used), pa.array(np.full(len(used), g)), pa.array([keys[heads[s] : heads[s + 1]].tobytes() for s in used], pa.binary())], ["kind", "segment", "g", "blob"]
+                        [pa.array(np.full(len(used), kind)), pa.array(used), pa.array(np.full(len(used), g)), pa.array([lm.packed(keys[heads[s] : heads[s + 1]]) for s in used], pa.binary())], ["kind", "segment", "g", "blob"]
                     )
 
     def probe(batches):
@@ -95,7 +95,7 @@ def records(rows: DataFrame, often: tuple, model: lm.Model, word_bits: DataFrame
                 if g < 0:
                     held, bits = (kind, segment), lm.Filter(cfg, np.frombuffer(blob, np.uint8), np.zeros(1, np.int64), np.array([8 * len(blob)]))
                     continue
-                keys = np.frombuffer(blob, lm.U64)
+                keys = lm.unpacked(blob)
                 level = bits.levels(keys) if held == (kind, segment) else np.zeros(len(keys), np.int64)
                 out.append((g, kind, segment, level.astype(np.uint8).tobytes()))
             if out:

@@ -8,6 +8,7 @@ itself, as its result still reads it, goes when the session's JVM ends.
 
 from __future__ import annotations
 
+import gc
 import re
 import tempfile
 import uuid
@@ -51,3 +52,8 @@ class Scratch:
         for name in names:
             path, files = self._files(f"{self.root}/{name}")
             files.delete(path, True)
+
+    def release(self) -> None:
+        """Asks the driver's JVM to collect, upon which Spark removes the shuffle files of tables that are written and no longer planned."""
+        gc.collect()
+        self.spark._jvm.System.gc()
