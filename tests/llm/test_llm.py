@@ -286,3 +286,67 @@ def test_clashing_columns(spark):
     mixed = mixing.emitted(docs)
     assert mixed.columns.count("copy") == 1 and "mix_size" not in mixed.columns
     assert all(r.copy >= 1 and r["_source"] == f"_source{r.doc_id}" and r["_id"] == f"_id{r.doc_id}" for r in mixed.collect())
+
+
+def test_empty_tables(spark):
+    none = lambda schema: spark.createDataFrame([], schema)
+    assert pii.report(pii.extract(none("doc_id long, text string"))).count() == 0
+    assert ann.nearest(none("vec_id long, embedding array<float>")).count() == 0
+    assert chat.read_back(chat.format_chats(none("conv_id long, turn long, role string, text string"))).count() == 0
+    assert html.extract(none("page_id long, url string, html string")).count() == 0
+    docs, bench = none("doc_id long, text string"), none("item_id long, text string")
+    assert decontam.contamination(docs, bench).count() == 0 and decontam.clean(docs, bench).count() == 0
+
+
+def test_repeats_and_extra_columns(spark):
+    """Repeated rows get the same result each time; columns with names that operators use inside do no harm."""
+    docs = spark.createDataFrame([(1, "mail a@b.com", "x", 0, "y")] * 2 + [(2, "w " * 40000 + "c@d.org", "x", 0, "y")], "doc_id long, text string, base string, row int, pattern string")
+    got = sorted((r.doc_id, r.spans) for r in pii.report(pii.extract(docs)).collect())
+    assert got == [(1, "email:5:12")] * 2 + [(2, "email:80000:80007")]
+    vectors = spark.createDataFrame([(k % 5, [float(k % 5), 1.0], 3, "s") for k in range(10)], "vec_id long, embedding array<double>, dim int, shard string")
+    near = ann.nearest(vectors).where("query_id = 0").orderBy("rank").collect()
+    assert [(r.rank, r.vec_id, r.score) for r in near] == [(k, k, float(k)) for k in range(1, 5)]
+    turns = spark.createDataFrame([(1, 0, "user", "q" * 50000, "c"), (1, 1, "assistant", "<|end|>" * 3000, "c")], "conv_id long, turn long, role string, text string, formatted string")
+    assert chat.read_back(chat.format_chats(turns)).first().loss_chars == 21000
+    page = (1, "http://h/x", "<article><p>" + "long text " * 5000 + "</p></article>", "t")
+    pages = spark.createDataFrame([page, page], "page_id long, url string, html string, text string")
+    assert [r.text for r in html.extract(pages).collect()] == [("long text " * 5000).strip()] * 2
+
+
+def test_patterns_beyond_matches(spark):
+    """A context goes back as many words as it needs, however long, and across an earlier match."""
+    word = "v" * 80
+    texts = [f"{word} key of {k} = {hashlib.sha1(str(k).encode()).hexdigest()}" for k in range(6)] + [f"{word} key of 9 = unseen-12345"]
+    got = {r.doc_id: r.spans for r in pii.report(pii.extract(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))).collect()}
+    assert got[6] == "id:92:104"
+
+
+def plain_spans(t):
+    """Base spans by a plain reading of the contract."""
+    found = {"email": [], "ip": [], "card": [], "phone": []}
+    for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t):
+        found["email"].append(m.span())
+    for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t):
+        if all(int(x) <= 255 for x in m[0].split(".")):
+            found["ip"].append(m.span())
+    for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", t):
+        d = [int(x) for x in m[0] if x.isdigit()][::-1]
+        if 16 <= len(d) <= 19 and sum(x if k % 2 == 0 else 2 * x - 9 * (x > 4) for k, x in enumerate(d)) % 10 == 0:
+            found["card"].append(m.span())
+    for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", t):
+        if 8 <= sum(x.isdigit() for x in m[0]) <= 15:
+            found["phone"].append(m.span())
+    return found
+
+
+def test_pii_plain(spark):
+    """Base spans of random texts of the signs that matter, against a plain reading."""
+    rng = np.random.default_rng(4)
+    bits = ["a@b.co", "x.y@z", "@", "1.2.3.4", "256.1.1.1", "4111 1111 1111 1111", "4111-1111-1111-1112", "+1 (017) 555-7713", "+12", " ", ".", "-", "0", "77", "é", "😀", "a", ",", "\n"]
+    texts = ["".join(rng.choice(bits, int(rng.integers(1, 14)))) for _ in range(400)]
+    got = {r.doc_id: r for r in pii.report(pii.extract(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))).collect()}
+    for k, t in enumerate(texts):
+        want = plain_spans(t)
+        written = ",".join(f"{kind}:{a}:{b}" for kind, spans in want.items() for a, b in spans)
+        assert [got[k].n_email, got[k].n_ip, got[k].n_card, got[k].n_phone] == [len(x) for x in want.values()], t
+        assert got[k].base_sha256 == hashlib.sha256(written.encode()).hexdigest(), t
