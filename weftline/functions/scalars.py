@@ -62,3 +62,16 @@ def mostly(test: Column, share: float = 0.9) -> Column:
 def masked_mean(x: Column, mask: Column) -> Column:
     """Aggregate: the mean of ``x`` where ``mask`` holds, 0 where it holds nowhere."""
     return F.coalesce(F.sum(F.when(mask, x)), F.lit(0.0)) / F.greatest(F.count(F.when(mask, 1)), F.lit(1))
+
+
+def all_digits(text: Column) -> Column:
+    """Whether the whole text is one or more decimal digits of any script."""
+    return text.rlike(r"\A\p{Nd}+\z")
+
+
+def inline_html(text: Column) -> Column:
+    """Escapes ``&``, ``<`` and ``>``, then turns ``**bold**`` and backquoted spans within a line into elements."""
+    for raw, safe in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
+        text = F.replace(text, F.lit(raw), F.lit(safe))
+    text = F.regexp_replace(text, r"\*\*([^\n\r\x{2028}\x{2029}]+?)\*\*", "<b>$1</b>")
+    return F.regexp_replace(text, r"`([^\n\r\x{2028}\x{2029}]+?)`", "<code>$1</code>")

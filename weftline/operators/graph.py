@@ -95,3 +95,54 @@ def edge_states(edges: DataFrame, state: DataFrame, column: str) -> DataFrame:
     """Edges with the state of both ends, as a and b."""
     of = state.select("graph_id", "node_id", column)
     return edges.join(of.toDF("graph_id", "src", "a"), ["graph_id", "src"]).join(of.toDF("graph_id", "dst", "b"), ["graph_id", "dst"])
+
+
+def seed_discount(nodes: DataFrame, edges: DataFrame, seeds: DataFrame) -> DataFrame:
+    """graph_id, node_id, score: degree less the neighbours that are seeds, for nodes that are none."""
+    mark = seeds.select("graph_id", F.col("node_id").alias("v")).distinct().withColumn("seed", F.lit(1))
+    near = both(edges).join(mark, ["graph_id", "v"], "left").groupBy("graph_id", F.col("u").alias("node_id")).agg(F.count(F.when(F.col("seed").isNull(), 1)).alias("score"))
+    return _dense(nodes.join(seeds.select(*KEY), KEY, "left_anti"), near, score=0)
+
+
+def modularity_delta(nodes: DataFrame, edges: DataFrame, side) -> DataFrame:
+    """graph_id, node_id, dq: the change of weighted modularity when a node's side (1 or -1, a column) flips; graphs without edges have none."""
+    of = degree(nodes, edges).withColumn("side", side)
+    total = of.groupBy("graph_id").agg(F.sum("strength").cast("double").alias("w2"), F.sum(F.col("strength") * F.col("side")).cast("double").alias("ks")).where("w2 > 0")
+    field = neighbour_agg(of, edges.select("graph_id", "src", "dst", "weight"), "side", f=F.sum(F.col("weight") * F.col("x")))
+    k, x = F.col("strength").cast("double"), F.col("side")
+    dq = -2 * x * (F.col("f").cast("double") - k * (F.col("ks") - k * x) / F.col("w2")) / F.col("w2")
+    return of.join(field, KEY).join(total, "graph_id").select(*KEY, dq.alias("dq"))
+
+
+def removal_rewards(nodes: DataFrame, edges: DataFrame, removed: DataFrame, cost: str) -> DataFrame:
+    """graph_id, nd, nd_cost, cn: less the largest component over n squared; the same over n by the share of cost removed; less the
+    connected pairs over n times all pairs. Graphs of one node have no rewards."""
+    gone = removed.select(*KEY).distinct().withColumn("gone", F.lit(1))
+    size = nodes.join(gone, KEY, "left").groupBy("graph_id").agg(F.count("*").cast("double").alias("n"), F.sum(cost).cast("double").alias("w"), F.sum(F.when(F.col("gone") == 1, F.col(cost)).otherwise(0)).cast("double").alias("wa"))
+    left = connectivity(nodes.join(gone, KEY, "left_anti"), _left_edges(edges, removed))
+    n, most, pairs = F.col("n"), F.coalesce("largest", F.lit(0)), F.coalesce("pairs", F.lit(0))
+    of = size.where("n > 1").join(left, "graph_id", "left")
+    return of.select("graph_id", (-most / (n * n)).alias("nd"), (-most / n * (F.col("wa") / F.col("w"))).alias("nd_cost"), (-pairs / (n * (n * (n - 1) / 2))).alias("cn"))
+
+
+def _left_edges(edges: DataFrame, removed: DataFrame) -> DataFrame:
+    for end in ("src", "dst"):
+        edges = edges.join(removed.select("graph_id", F.col("node_id").alias(end)), ["graph_id", end], "left_anti")
+    return edges
+
+
+def residual_status(edges: DataFrame, left: DataFrame) -> DataFrame:
+    """graph_id, covered, nodes, two_hop: edges gone, nodes with an edge left, and paths of two edges left; graphs with edges only."""
+    deg = both(left).groupBy("graph_id", "u").agg(F.count("*").alias("k"))
+    of = deg.groupBy("graph_id").agg(F.count("*").alias("nodes"), F.sum(F.expr("k * (k - 1) div 2")).alias("two_hop"), (F.sum("k") / 2).cast("long").alias("kept"))
+    out = edges.groupBy("graph_id").agg(F.count("*").alias("m")).join(of, "graph_id", "left")
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long")
+    return out.select("graph_id", (F.col("m") - zero("kept")).alias("covered"), zero("nodes").alias("nodes"), zero("two_hop").alias("two_hop"))
+
+
+def pairs_near(nodes: DataFrame, edges: DataFrame, removed: DataFrame) -> DataFrame:
+    """graph_id, pairs: pairs of remaining nodes that share a neighbour, removed or not. Neighbours' degrees set its size."""
+    ends = both(edges).select("graph_id", F.col("u").alias("at"), F.col("v").alias("node_id")).join(removed.select(*KEY), KEY, "left_anti")
+    pairs = ends.withColumnRenamed("node_id", "x").join(ends.withColumnRenamed("node_id", "y"), ["graph_id", "at"]).where("x < y").select("graph_id", "x", "y").distinct()
+    of = pairs.groupBy("graph_id").agg(F.count("*").alias("pairs"))
+    return nodes.select("graph_id").distinct().join(of, "graph_id", "left").select("graph_id", F.coalesce("pairs", F.lit(0)).alias("pairs"))
