@@ -5,7 +5,6 @@ from pyspark.sql import functions as F
 
 from weftline.functions import scalars as S
 from weftline.operators import graph as G
-from weftline.operators import windows as W
 from weftline.plans.views import residual
 
 
@@ -68,12 +67,6 @@ def test_modularity_delta_is_the_difference(batch):
         assert got[v] == pytest.approx(q(flipped) - q(side))
 
 
-def test_best_from(spark):
-    rows = spark.createDataFrame([("a", t, v) for t, v in enumerate([0.0, 5.0, 3.0, 3.0, None])] + [("b", 0, 1.0)], "k string, t int, v double")
-    assert [tuple(r) for r in W.best_from(rows, "k", ["t"], "v", 1).collect()] == [("a", 2, 3.0)]
-    assert [tuple(r) for r in W.best_from(rows, "k", ["t"], "v", 2, highest=True).collect()] == [("a", 2, 3.0)]
-
-
 def test_inline_html_and_digits(spark):
     rows = [("a **b c** <d> `e f` & **g\nh**",), ("12",), ("",), ("1 2",), (None,)]
     got = spark.createDataFrame(rows, "t string").select(S.inline_html(F.col("t")).alias("h"), S.all_digits(F.col("t")).alias("d")).collect()

@@ -32,16 +32,3 @@ def standardise(rows: DataFrame, key: str, value: str) -> DataFrame:
     """(x - mean) / sqrt(population variance + 1e-6), moments from one partial aggregate."""
     of = rows.groupBy(key).agg(F.avg(value).alias("_m"), F.var_pop(value).alias("_v"))
     return rows.join(of, key).withColumn("z", (F.col(value) - F.col("_m")) / F.sqrt(F.col("_v") + 1e-6)).drop("_m", "_v")
-
-
-def best_from(rows: DataFrame, key: str, order: list[str], value: str, first: int, highest: bool = False) -> DataFrame:
-    """``best_index`` (from 0) and ``best``: the lowest or highest value of each key from row ``first`` on, the first of equals.
-
-    Keys with fewer rows, or with null values only from there on, have none.
-    """
-    at = rows.withColumn("best_index", F.row_number().over(Window.partitionBy(key).orderBy(*order)) - 1)
-    at = at.where((F.col("best_index") >= first) & F.col(value).isNotNull())
-    by = F.max_by if highest else F.min_by
-    rank = F.struct(F.col(value).alias("v"), (-F.col("best_index") if highest else F.col("best_index")).alias("i"))
-    best = at.groupBy(key).agg(by(F.struct("best_index", F.col(value).alias("best")), rank).alias("x"))
-    return best.select(key, F.col("x.best_index").alias("best_index"), F.col("x.best").alias("best"))

@@ -30,6 +30,8 @@ lab as (select g, v, max(m) l from r group by 1, 2), cs as (select g, l, count(*
 
 def query(sql: str | None = None, view: bool = True):
     def put(f):
+        if f.__name__ in QUERIES:
+            raise ValueError(f"two queries named {f.__name__}")
         QUERIES[f.__name__] = f
         if sql is not None:
             SQL[f.__name__] = (_VIEW if view else "") + sql

@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from weftline.functions import scalars as S
 from weftline.operators import graph as G
-from weftline.operators import windows as W
 from weftline.plans.graph_queries import _COMP, _brand, _chosen, _r, query
 from weftline.plans.views import both, residual, table
 
@@ -60,12 +59,6 @@ def median_degree(spark, sf_dir):
     return G.degree(n, e).join(n, G.KEY).groupBy("graph_id").agg(F.median("degree").alias("middle"), F.median("size").alias("size"))
 
 
-@query("with r as (select user_id, value, row_number() over (partition by user_id order by ts, event_id) - 1 i from events) select user_id, i best_index, value best from (select *, row_number() over (partition by user_id order by value, i) k from r where i >= 33) where k = 1", view=False)
-def best_checkpoint(spark, sf_dir):
-    """The lowest value of each user's events from the thirty-fourth on, the first of equals."""
-    return W.best_from(table(spark, sf_dir, "events"), "user_id", ["ts", "event_id"], "value", 33)
-
-
 _ESCAPED = "replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
 
 
