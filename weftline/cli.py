@@ -1,14 +1,16 @@
-"""``python -m weftline.cli list | run QUERY --data DIR [--out PATH] | generate KIND --out PATH | benchmark --data DIR``."""
+"""``python -m weftline.cli list | run QUERY --data DIR [--out PATH] | generate KIND --out PATH | benchmark --data DIR
+| train LEARNER --out FILE | eval LEARNER --weights FILE | configs --data DIR``."""
 
 from __future__ import annotations
 
 import argparse
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from weftline import registry
-from weftline.operators import attacks, returns
+from weftline.operators import attacks, labels, learners, returns
 from weftline.operators import local as L
 from weftline.plans.views import brand_edges, brand_nodes
 from weftline.sources import generators, sinks
@@ -26,14 +28,27 @@ def attack_table(nodes, edges, kinds: list[str]):
 
 def main(argv: list[str] | None = None) -> None:
     p = argparse.ArgumentParser(prog="weftline", description=__doc__)
-    p.add_argument("command", choices=("list", "run", "generate", "benchmark"))
+    p.add_argument("command", choices=("list", "run", "generate", "benchmark", "train", "eval", "configs"))
     p.add_argument("name", nargs="?")
     p.add_argument("--data")
     p.add_argument("--out")
     p.add_argument("--graphs", type=int, default=10)
     p.add_argument("--nodes", type=int, nargs=2, default=(30, 50))
     p.add_argument("--methods", nargs="*", default=["degree", "corehd", "collective_influence"])
+    p.add_argument("--problem", default="cover")
+    p.add_argument("--episodes", type=int, default=300)
+    p.add_argument("--seed", type=int, default=0)
+    p.add_argument("--weights")
     a = p.parse_args(argv)
+    if a.command == "configs":
+        print("\n".join(sorted(x.stem for x in Path(a.data).glob("*.yaml"))))
+        return
+    if a.command in ("train", "eval"):
+        of = learners.train(a.name, a.problem, a.episodes, a.seed) if a.command == "train" else labels.restored(learners.LEARNERS[a.name](a.seed), a.weights)
+        if a.out:
+            labels.saved(of, a.out)
+        print(learners.validated(of, a.problem))
+        return
     parts = registry.parts()
     if a.command == "list":
         for kind, of in parts.items():
