@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import ann, chat, decontam, html, line_dedup, lm, mixing, near_dedup, pii, quality
+from weftline.llm import ann, chat, decontam, fim, html, line_dedup, lm, merkle, mixing, near_dedup, packing, pii, quality
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,6 +60,30 @@ def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", F.col("mix_size").alias("size"), F.col("mix_source_size").alias("source_size"), F.col("mix_target").alias("target"), (F.col("mix_size") * F.col("mix_copies")).alias("taken"))
 
 
+def op11_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = fim.transform(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    digest = lambda c: F.sha2(c, 256)
+    return cut.select("doc_id", F.col("fim_n").alias("n"), F.col("fim_form").alias("form"), F.col("fim_prefix_chars").alias("prefix_chars"), F.col("fim_middle_chars").alias("middle_chars"), digest(F.col("fim_output")).alias("output_sha256"), digest(fim.restored(F.col("fim_output"), F.col("fim_form"))).alias("restored_sha256"))
+
+
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The manifest of ``documents``; proofs are tried on texts of which every fifth, by its id's CRC, was put in lower case."""
+    docs = _table(spark, sf_dir, "documents")
+    leaf = lambda text: merkle.leaf(*map(F.col, ("doc_id", "source", "lang", "n_chars")), text)
+    lower = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    own = leaf(F.col("text"))
+    shown = F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, leaf(lower)).otherwise(own)
+    of = merkle.manifest(docs.select("doc_id", "source", own.alias("leaf"), shown.alias("shown")))
+    again = of.withColumn("folded_root", merkle.folded(F.col("shown"), F.col("path")))
+    return again.select("doc_id", "leaf", "subroot", "root", merkle.proof_digest(F.col("path")).alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -67,7 +91,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = (op1_near_dedup, op2_pii, op3_nearest, op4_lm_score, op5_line_dedup, op6_decontaminate, op7_quality, op8_chat_format, op9_html_text, op10_mix, pipeline)
+    every = (op1_near_dedup, op2_pii, op3_nearest, op4_lm_score, op5_line_dedup, op6_decontaminate, op7_quality, op8_chat_format, op9_html_text, op10_mix, op11_pack, op12_fill_in_middle, op13_merkle, pipeline)
     return {f.__name__: f for f in every}
 
 
@@ -122,5 +146,40 @@ u as (select d.doc_id, size, source_size, target, case when source_size > 0 then
 select doc_id, size, source_size, target::double target, (size * (floor(rate) + (u < rate - floor(rate))::int))::bigint taken from u"""
 
 
+_OP12 = """
+with h as (select doc_id, coalesce(text, '') t, sha256('1:' || coalesce(doc_id::varchar, 'null')) d from documents),
+n as (select *, length(t)::bigint n, ('0x' || d[1:8])::bigint h1, ('0x' || d[9:16])::bigint h2, ('0x' || d[17:24])::bigint h3, ('0x' || d[25:32])::bigint h4 from h),
+c as (select *, least(h1 % (n + 1), h2 % (n + 1)) a, greatest(h1 % (n + 1), h2 % (n + 1)) b,
+  case when t = '' or contains(t, '<P>') or contains(t, '<S>') or contains(t, '<M>') or h3 % 100 >= 90 then 'plain' when h4 % 100 < 20 then 'spm' else 'psm' end form from n),
+s as (select *, substr(t, 1, a) p, substr(t, a + 1, b - a) m, substr(t, b + 1) x from c)
+select doc_id, n, form, case when form <> 'plain' then a end prefix_chars, case when form <> 'plain' then b - a end middle_chars,
+  sha256(case form when 'plain' then t when 'psm' then '<P>' || p || '<S>' || x || '<M>' || m else '<S>' || x || '<P>' || p || '<M>' || m end) output_sha256,
+  sha256(t) restored_sha256 from s"""
+
+_FIELD = "coalesce(strlen({0}::varchar)::varchar || ':' || {0}::varchar, '-')"
+_LEAF = "sha256(" + " || ".join(_FIELD.format(c) for c in ("doc_id", "source", "lang", "n_chars")) + " || {})"
+_CRC = """list_reduce(list_concat([4294967295::bigint], list_transform(range(1, length(doc_id::varchar) + 1), lambda i: ascii(substr(doc_id::varchar, i::int, 1))::bigint)),
+  lambda c, x: list_reduce([xor(c, x), 0, 0, 0, 0, 0, 0, 0, 0], lambda a, z: xor(a >> 1, 3988292384 * (a & 1))))"""
+#: Nodes of every level (a trie of sources' rows, then one of their subroots), the beside of each leaf by level, and the leaf folded up.
+_OP13 = f"""
+with recursive l as (select doc_id, source, {_LEAF.format(_FIELD.format("text"))} leaf,
+  case when xor({_CRC}, 4294967295) % 5 = 0 then {_LEAF.format(_FIELD.format("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"))} end other from documents),
+r as (select *, row_number() over (partition by source order by doc_id nulls first, leaf) - 1 k, count(*) over (partition by source) n from l),
+t(lev, source, k, n, h) as (select 0, source, k, n, leaf from r union all
+  select lev + 1, source, k // 16, (any_value(n) + 15) // 16, sha256(string_agg(h, '' order by k)) from t where n > 1 group by lev, source, k // 16),
+s as (select source, lev top, h subroot, row_number() over (order by source nulls first) - 1 k, count(*) over () n from t where n = 1),
+u(lev, k, n, h) as (select 0, k, n, subroot from s union all
+  select lev + 1, k // 16, (any_value(n) + 15) // 16, sha256(string_agg(h, '' order by k)) from u where n > 1 group by lev, k // 16),
+g as (select r.*, row_number() over () i, s.k sk, top, subroot, (select h from u where n = 1) root from r join s on s.source is not distinct from r.source),
+b as (select i, t.lev, coalesce(string_agg(h, '' order by t.k) filter (t.k < g.k >> 4 * t.lev), '') lhs, coalesce(string_agg(h, '' order by t.k) filter (t.k > g.k >> 4 * t.lev), '') rhs
+  from g join t on t.source is not distinct from g.source and t.n > 1 and t.k >> 4 = g.k >> 4 * (t.lev + 1) group by 1, 2
+  union all select i, u.lev + top, coalesce(string_agg(h, '' order by u.k) filter (u.k < g.sk >> 4 * u.lev), ''), coalesce(string_agg(h, '' order by u.k) filter (u.k > g.sk >> 4 * u.lev), '')
+  from g join u on u.n > 1 and u.k >> 4 = g.sk >> 4 * (u.lev + 1) group by i, u.lev, top),
+f(i, lev, x) as (select i, 0, coalesce(other, leaf) from g union all select f.i, f.lev + 1, sha256(lhs || x || rhs) from f join b on b.i = f.i and b.lev = f.lev),
+p as (select i, sha256(string_agg(lhs || rhs, '' order by lev)) proof from b group by 1)
+select doc_id, leaf, subroot, root, coalesce(proof, sha256('')) proof_sha256, x folded_root, x = root verified
+from g join (select i, arg_max(x, lev) x from f group by 1) using (i) left join p using (i)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_near_dedup": _OP1, "op6_decontaminate": _OP6, "op8_chat_format": _OP8, "op10_mix": _OP10}
+    return {"op1_near_dedup": _OP1, "op6_decontaminate": _OP6, "op8_chat_format": _OP8, "op10_mix": _OP10, "op12_fill_in_middle": _OP12, "op13_merkle": _OP13}
