@@ -120,8 +120,11 @@ def test_fill_in_middle(docs):
 
 def test_units_in_blocks():
     text = "aé😀\n\r\n\x00" * 200
-    units = fim.Units(fim.splitter(), text)
+    units = fim.Units(fim.splitters(), text)
     assert units.n == len(text) and [units.offset(k) for k in range(0, len(text) + 1, 97)] == list(range(0, len(text) + 1, 97)) and units.offset(units.n) == len(text)
+    for n in (0, 1, 255, 256, 257, 1 << 16, (1 << 16) + 1):
+        units = fim.Units(fim.splitters(), "\n" * n)
+        assert units.n == n and units.offset(n) == n and units.offset(n // 2) == n // 2
 
 
 def H(*parts: str) -> str:

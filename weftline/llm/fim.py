@@ -1,11 +1,11 @@
 """Fill-in-middle: documents cut in three, with the middle asked for last.
 
-A text is cut into code points by the tokenizers library's ``Split`` pre-tokenizer:
-every match of a pattern of one code point is isolated, nothing is trained. The
-number of offsets is n; the offsets of two ranks, drawn by hash of the id, are
-where prefix and middle end. Texts are split in blocks, of which only the
-counts are kept; the block that holds a rank is split again for its offset.
-So memory holds a batch, its outputs and one block's offsets.
+A text is cut into code points by the tokenizers library's ``Split`` pre-tokenizer,
+every match isolated, nothing trained. The offset array has two levels: matches of
+``BLOCK`` code points, the last of a text shorter, and within a block matches of one. The arrays' lengths
+give n; the offsets of two ranks, drawn by hash of the id, are where prefix and
+middle end, and only the blocks that hold them, and the last, are split into single code points.
+Memory holds a batch, its outputs and an offset for each block.
 
 Forms: ``plain``, the text as it is; ``psm``, prefix, suffix, middle, each after its
 mark; ``spm``, suffix, prefix, middle. ``restored`` takes an output apart again, by
@@ -20,9 +20,7 @@ gives way to it.
 from __future__ import annotations
 
 import hashlib
-from bisect import bisect_right
 from collections.abc import Iterator
-from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -33,36 +31,33 @@ from weftline.llm.textkit import text_column, unused, without
 
 PREFIX, SUFFIX, MIDDLE = "<P>", "<S>", "<M>"
 ADDED = ("fim_n", "fim_form", "fim_prefix_chars", "fim_middle_chars", "fim_output")
-#: Code points split at a time, and bytes of text after which outputs leave the task.
-BLOCK, FLUSH = 256, 8 << 20
+#: Code points of a block, code points split into blocks at a time (a multiple), and those after which outputs leave the task.
+BLOCK, STRIDE, FLUSH = 256, 1 << 16, 8 << 20
 
 
 class Units:
-    """The code points of one text, by isolated matches."""
+    """The code points of one text, by isolated matches: of blocks first, then of single ones in those blocks that are asked for."""
 
-    def __init__(self, split, text: str):
-        self.split, self.text = split, text
-        counts = [len(split.pre_tokenize_str(text[at : at + BLOCK])) for at in range(0, len(text), BLOCK)]
-        self.before = [0, *accumulate(counts)]
+    def __init__(self, splits, text: str):
+        coarse, self.single, self.text = *splits, text
+        self.blocks = [at + span[0] for at in range(0, len(text), STRIDE) for _, span in coarse.pre_tokenize_str(text[at : at + STRIDE])]
+        self.n = BLOCK * (len(self.blocks) - 1) + len(self._offsets(len(self.blocks) - 1)) if text else 0
 
-    @property
-    def n(self) -> int:
-        return self.before[-1]
+    def _offsets(self, block: int) -> list[int]:
+        first = self.blocks[block]
+        return [first + span[0] for _, span in self.single.pre_tokenize_str(self.text[first : first + BLOCK])]
 
     def offset(self, rank: int) -> int:
         """Where the unit of this rank begins; the end of the text for rank n."""
-        if rank == self.n:
-            return len(self.text)
-        block = bisect_right(self.before, rank) - 1
-        first = block * BLOCK
-        return first + self.split.pre_tokenize_str(self.text[first : first + BLOCK])[rank - self.before[block]][1][0]
+        return len(self.text) if rank == self.n else self._offsets(rank // BLOCK)[rank % BLOCK]
 
 
-def splitter():
+def splitters():
+    """Split pre-tokenizers of blocks and of single code points."""
     from tokenizers import Regex
     from tokenizers.pre_tokenizers import Split
 
-    return Split(Regex("(?m:.)"), "isolated")
+    return Split(Regex(f"(?m:.{{1,{BLOCK}}})"), "isolated"), Split(Regex("(?m:.)"), "isolated")
 
 
 def draws(seed: int, key) -> list[int]:
@@ -71,9 +66,9 @@ def draws(seed: int, key) -> list[int]:
     return [int(digest[k : k + 8], 16) for k in range(0, 32, 8)]
 
 
-def cut(split, text: str, key, seed: int, rate: int, spm: int) -> tuple[int, str, int | None, int | None, str]:
+def cut(splits, text: str, key, seed: int, rate: int, spm: int) -> tuple[int, str, int | None, int | None, str]:
     """n, form, code points of prefix and middle, output."""
-    units = Units(split, text)
+    units = Units(splits, text)
     h1, h2, h3, h4 = draws(seed, key)
     if not text or h3 % 100 >= rate or PREFIX in text or SUFFIX in text or MIDDLE in text:
         return units.n, "plain", None, None, text
@@ -94,7 +89,7 @@ def transform(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     types = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split = splitter()
+        splits = splitters()
 
         def out(batch: pa.RecordBatch, first: int, rows: list[tuple]) -> pa.RecordBatch:
             own = batch.slice(first, len(rows))
@@ -106,7 +101,7 @@ def transform(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
             rows, size, first = [], 0, 0
             for k in range(batch.num_rows):
                 text = column[k].as_py()
-                rows.append(cut(split, text, keys[k].as_py(), seed, rate, spm))
+                rows.append(cut(splits, text, keys[k].as_py(), seed, rate, spm))
                 size += len(text)
                 if size >= FLUSH:
                     yield out(batch, first, rows)
