@@ -6,10 +6,11 @@ import re
 import zlib
 from collections import Counter
 
+import duckdb
 import numpy as np
 import pytest
 
-from weftline.llm import ann, chat, decontam, html, line_dedup, lm, mixing, near_dedup, pii, quality
+from weftline.llm import ann, chat, decontam, html, line_dedup, lm, mixing, near_dedup, pii, quality, queries
 
 
 def lower(s):
@@ -215,6 +216,50 @@ def test_chat(spark):
         assert got[key].loss_sha256 == hashlib.sha256(loss.encode()).hexdigest() and got[key].loss_chars == len(loss) and got[key].n_turns == len(turns)
 
 
+MARKED = ["<|end|>", "<|end|>\nb", "a<|end|>", "<|end|><|end|>", "c <|end|> d", "<|start|>", "<\\|end|>", "<|end", "<|other|>", "<", "<|end|", "\\", "a\\nb", "<\\p", "\\\\", "x\ny", ""]
+
+
+def plain_escapes(role, text):
+    """As they are to be written: a turn that holds a marker's opening, a newline in its role, or what escaping would undo."""
+    marked = "<|" in text or re.search(r"<\\+\|", text) or "<|" in role or "\n" in role or "\\" in role
+    return (role.replace("\\", "\\\\").replace("\n", "\\n").replace("<|", "<\\p"), re.sub(r"<(\\*)\|", r"<\1\\|", text)) if marked else (role, text)
+
+
+def plain_parse(formatted):
+    """The stated grammar, character by character."""
+    out, at = [], 0
+    while at < len(formatted):
+        if not formatted.startswith("<|start|>", at):
+            return None
+        cut = formatted.find("\n", at)
+        stop = formatted.find("<|end|>", at)
+        if cut < 0 or stop < cut or not formatted.startswith("\n", stop + 7) or "<|start|>" in formatted[at + 9 : stop]:
+            return None
+        out.append((formatted[at + 9 : cut], formatted[cut + 1 : stop]))
+        at = stop + 8
+    return out
+
+
+def test_chat_markers(spark, tmp_path):
+    """Markers alone, first, last and doubled, in texts and roles: a reader that stops at the end marker sees every turn whole; query and SQL agree."""
+    turns = {k: [("user", m), ("assistant", "ok " + m)] for k, m in enumerate(MARKED)} | {100 + k: [(m, "q"), ("assistant", "<|other|>")] for k, m in enumerate(MARKED)}
+    rows = [(c, n, r, t) for c, own in turns.items() for n, (r, t) in enumerate(own)]
+    frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    for r in chat.format_chats(frame).collect():
+        read = plain_parse(r.formatted)
+        assert read is not None and len(read) == 2, r
+        own = turns[r.conv_id]
+        assert read in (own, [plain_escapes(*t) for t in own]), r
+        assert [(t.role, t.text) for t in r.turns] == own
+        assert all("<|end|>" not in x and "<|start|>" not in x for t in read for x in t)
+    frame.write.parquet(f"{tmp_path}/conversations.parquet")
+    got = queries.op8_chat_format(spark, str(tmp_path)).toPandas().sort_values("conv_id").reset_index(drop=True)
+    con = duckdb.connect()
+    con.execute(f"create view conversations as select * from '{tmp_path}/conversations.parquet/*.parquet'")
+    want = con.execute(queries.oracle_sql()["op8_chat_format"]).df()[list(got.columns)].sort_values("conv_id").reset_index(drop=True)
+    assert got.astype(str).equals(want.astype(str)), got.compare(want)
+
+
 @pytest.mark.parametrize("bound", [1 << 20, -1])
 def test_html(spark, bound):
     body = lambda k: f"<nav>menu</nav><div class=box>Same notice</div><div class=story><h1>T{k} &amp; x</h1><p>p{k}<br>b  c<p>d{k}</div><div id=comments>bad</div><footer>f"

@@ -2,7 +2,8 @@ r"""Chat formatting with a grammar round trip, in DataFrame functions only.
 
 A conversation is rendered as ``<|start|>role\ntext<|end|>\n`` per turn. The text
 is parsed back by a deterministic grammar: split at ``<|start|>``, role up to the
-first newline, text up to ``<|end|>``, with escapes undone. Where the turns that come
+first newline, text up to the first ``<|end|>``, which a newline and nothing else must follow, with
+escapes undone; no role holds ``<|end|>``. Where the turns that come
 back differ from the source, the fields at fault are escaped and the round trip is
 run again; a conversation that still differs stops the job. Escaping adds a
 backslash to every ``<\..\|`` run, so no escaped field holds ``<|``, and undoing it is
@@ -23,7 +24,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-START, END = "<|start|>", "<|end|>\n"
+START, STOP = "<|start|>", "<|end|>"
+END = STOP + "\n"
 #: A control string's opening, with any backslashes that escaping has put in.
 _OPENING = r"<(\\*)\|"
 _ESCAPED = r"<(\\*)\\\|"
@@ -55,27 +57,20 @@ def render(turns: Column) -> Column:
 
 
 def parse(formatted: Column) -> Column:
-    """The turns of a formatted text: role, text, and the raw text with its start (code points from 1)."""
+    """The turns of a formatted text: role, text, and the raw text with its start (code points from 1). What the grammar doesn't hold is a turn of nulls."""
     pieces = F.filter(F.split(formatted, r"<\|start\|>", -1), lambda x, i: i > 0)
-    heads = F.transform(pieces, lambda p: F.struct(p.alias("p"), F.instr(p, "\n").alias("cut"), F.length(p).alias("n")))
-    begun = F.aggregate(
-        heads,
-        F.struct(F.lit(1).cast("long").alias("at"), F.array().cast("array<struct<role:string,raw:string,start:bigint>>").alias("out")),
-        lambda acc, h: F.struct(
-            (acc["at"] + len(START) + h["n"]).cast("long").alias("at"),
-            F.concat(
-                acc["out"],
-                F.array(
-                    F.struct(
-                        F.substring(h["p"], F.lit(1), h["cut"] - 1).alias("role"),
-                        F.substring(h["p"], h["cut"] + 1, h["n"] - h["cut"] - len(END)).alias("raw"),
-                        (acc["at"] + len(START) + h["cut"]).cast("long").alias("start"),
-                    )
-                ),
-            ).alias("out"),
-        ),
-    )["out"]
-    return F.transform(begun, lambda t: F.struct(unescape_role(t["role"]).alias("role"), unescape(t["raw"]).alias("text"), t["raw"].alias("raw"), t["start"].alias("start")))
+    lengths = F.transform(pieces, F.length)
+    # a piece begins behind all before it and its own start marker; lengths alone are summed up
+    ends = F.aggregate(lengths, F.array().cast("array<int>"), lambda acc, n: F.concat(acc, F.array(F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0)) + len(START) + n)))
+    heads = F.transform(F.arrays_zip(pieces.alias("p"), ends.alias("end")), lambda h: F.struct(h["p"].alias("p"), (h["end"] - F.length(h["p"])).alias("before"), F.instr(h["p"], "\n").alias("cut"), F.instr(h["p"], STOP).alias("stop")))
+
+    def turn(h: Column) -> Column:
+        whole = (h["cut"] > 0) & (h["stop"] > h["cut"]) & (h["stop"] == F.length(h["p"]) - len(END) + 1) & F.endswith(h["p"], F.lit(END))
+        raw = F.when(whole, F.substring(h["p"], h["cut"] + 1, h["stop"] - h["cut"] - 1))
+        role = F.when(whole, F.substring(h["p"], F.lit(1), h["cut"] - 1))
+        return F.struct(unescape_role(role).alias("role"), unescape(raw).alias("text"), raw.alias("raw"), (h["before"] + h["cut"] + 1).cast("long").alias("start"))
+
+    return F.transform(heads, turn)
 
 
 def _same(parsed: Column, source: Column) -> Column:

@@ -124,14 +124,18 @@ select d.doc_id, len(ws)::bigint n_words, coalesce(h, 0)::bigint n_hit, coalesce
   coalesce(h, 0) > 0 and 20 * coalesce(h, 0) >= len(ws) contaminated
 from d left join hit using (doc_id) left join its using (doc_id)"""
 
-_OP8 = """
+_OP8 = r"""
 with c as (select conv_id, turn, coalesce(role, '') r, coalesce(text, '') t from conversations
   union all select -1, 0, 'user', '</s>[INST] ok [/INST]' union all select -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
-e as (select *, case when t like '%<|%' or regexp_matches(t, '<\\\\+\\|') then regexp_replace(t, '<(\\\\*)\\|', '<\\1\\\\|', 'g') else t end x from c)
+o as (select *, contains(t, '<|start|>') or contains(t, '<|end|>') or regexp_matches(t, '<\\+\|') or contains(r, '<|start|>') or contains(r, '<|end|>')
+    or contains(r, chr(10)) or contains(r, '\\') or contains(r, '\n') or contains(r, '<\p') odd,
+  contains(t, '<|') or regexp_matches(t, '<\\+\|') or contains(r, '<|') or contains(r, chr(10)) or contains(r, '\') marked from c),
+e as (select *, f and marked esc, case when f and marked then regexp_replace(t, '<(\\*)\|', '<\1\\|', 'g') else t end x,
+  case when f and marked then replace(replace(replace(r, '\', '\\'), chr(10), '\n'), '<|', '<\p') else r end y from (select *, bool_or(odd) over (partition by conv_id) f from o))
 select conv_id, count(*)::bigint n_turns, sha256(string_agg(r || chr(10) || t || chr(10), '' order by turn, r, t)) turns_sha256,
   coalesce(sum(length(t)) filter (r = 'assistant'), 0)::bigint loss_chars,
   sha256(coalesce(string_agg(t, '' order by turn, r, t) filter (r = 'assistant'), '')) loss_sha256,
-  sum(length(r) + length(x) + 18)::bigint formatted_chars from e group by 1"""
+  sum(length(y) + length(x) + 18)::bigint formatted_chars from e group by 1"""
 
 _OP10 = """
 with d as (select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::bigint size from documents),
