@@ -48,8 +48,8 @@ def plain_lines(rows):
         keys = [" ".join(words(x)) for x in (r.text or "").split("\n")] if r.text is not None else []
         for j, key in enumerate(keys):
             if key:
-                seen.setdefault(key, []).append((r.source, keys[j - 1] if j else None, keys[j + 1] if j + 1 < len(keys) else None, r.doc_id))
-    spread = {k: min(x[3] for x in v if x[3] is not None) for k, v in seen.items() if len({x[0] for x in v}) >= 5 and len({x[1:3] for x in v}) >= 0.5 * len(v)}
+                seen.setdefault(key, []).append((r.source, tuple(keys), r.doc_id))
+    spread = {k: min(x[2] for x in v if x[2] is not None) for k, v in seen.items() if len({x[0] for x in v}) >= 5 and len({x[1] for x in v}) >= 5}
     out = []
     for r in rows:
         lines = None if r.text is None else [x for x in r.text.split("\n") if r.doc_id is None or spread.get(" ".join(words(x)), r.doc_id) == r.doc_id]
