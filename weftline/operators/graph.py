@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftline.operators.local import Union, per_graph
+from weftline.operators.connect import components
 from weftline.plans.views import both
 
 KEY = ["graph_id", "node_id"]
@@ -32,21 +32,6 @@ def neighbour_agg(nodes: DataFrame, edges: DataFrame, value: str, **aggs) -> Dat
     return _dense(nodes, found, **dict.fromkeys(aggs, 0))
 
 
-def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """graph_id, node_id, label: the largest node id of the component."""
-
-    def kernel(ids, src, dst, weight):
-        u = Union(len(ids))
-        for a, b in zip(src.tolist(), dst.tolist(), strict=True):
-            u.join(a, b)
-        roots = [u.root(k) for k in range(len(ids))]
-        top = {r: int(ids[k]) for k, r in enumerate(roots)}
-        return ((int(ids[k]), top[r]) for k, r in enumerate(roots))
-
-    kind = dict(nodes.dtypes)["graph_id"]
-    return per_graph(nodes, edges, kernel, f"graph_id {kind}, node_id long, label long")
-
-
 def connectivity(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """graph_id, components, largest and connected pairs."""
     size = components(nodes, edges).groupBy("graph_id", "label").agg(F.count("*").alias("n"))
