@@ -10,6 +10,7 @@ from weftline.operators import frontier as R
 from weftline.operators import graph as G
 from weftline.plans.graph_queries import _brand, _r, query
 from weftline.plans.views import brand_nodes, table
+from weftline.sources import generators as N
 
 #: Connectivity of every prefix of the order by degree: sets of nodes still there are labelled anew for each.
 _CURVE = """,
@@ -119,3 +120,40 @@ _BACK = "(select y.g, y.u, y.v, coalesce(sum(x.x), 0) x from b y left join {0} x
 def edge_messages(spark, sf_dir):
     """Sizes sent along edges, twice on to edges that follow, and gathered at their heads."""
     return R.gathered(R.edge_message(*_brand(spark, sf_dir), "size", steps=2))
+
+
+def _sized(spark, sf_dir):
+    """A graph a brand, as large as the brand has parts."""
+    return table(spark, sf_dir, "part").groupBy(F.col("p_brand").alias("graph_id")).agg(F.count("*").alias("n"))
+
+
+def _shape(sized, edges):
+    """graph_id, n, edges, different edges, least and largest degree."""
+    nodes = N.nodes(sized.join(edges.groupBy("graph_id").agg((F.max(F.greatest("src", "dst")) + 1).alias("top")), "graph_id", "left").withColumn("n", F.greatest("n", F.coalesce("top", "n"))))
+    degree = G.degree(nodes, edges).groupBy("graph_id").agg(F.count("*").alias("n"), F.min("degree").alias("least"), F.max("degree").alias("most"))
+    size = edges.groupBy("graph_id").agg(F.count("*").alias("edges"), F.count_distinct("src", "dst").alias("different"))
+    return degree.join(size, "graph_id")
+
+
+@query("with b as (select p_brand g, count(*) n from part group by 1) select g graph_id, n + n % 2 n, ((n + n % 2) * 3 // 2)::bigint edges, ((n + n % 2) * 3 // 2)::bigint different, 3 least, 3 most from b where n > 3", view=False)
+def cubic_graphs(spark, sf_dir):
+    """Random graphs of three neighbours a node, a graph a brand."""
+    sized = _sized(spark, sf_dir).where("n > 3")
+    return _shape(sized, N.regular(sized, 3, seed=1))
+
+
+@query("with b as (select p_brand g, count(*) n from part group by 1) select g graph_id, n, n - 1 edges, n - 1 different, 1 pieces from b where n > 1", view=False)
+def random_trees(spark, sf_dir):
+    sized = _sized(spark, sf_dir).where("n > 1")
+    edges = N.tree(sized, seed=1)
+    shape = _shape(sized, edges).select("graph_id", "n", "edges", "different")
+    return shape.join(C.components(N.nodes(sized), edges).groupBy("graph_id").agg(F.count_distinct("label").alias("pieces")), "graph_id")
+
+
+@query("with b as (select p_brand g, count(*) n from part group by 1) select g graph_id, n, (3 * (n - 3))::bigint edges, (3 * (n - 3))::bigint different, 3 * (n - 3) older from b where n > 3", view=False)
+def attachment_graphs(spark, sf_dir):
+    """Preferential attachment, three edges a node; ``older`` counts edges to an earlier node."""
+    sized = _sized(spark, sf_dir).where("n > 3")
+    edges = N.preferential(sized, 3, seed=1)
+    older = edges.where("src < dst").groupBy("graph_id").agg(F.count("*").alias("older"))
+    return _shape(sized, edges).select("graph_id", "n", "edges", "different").join(older, "graph_id")
