@@ -280,6 +280,13 @@ def test_html_template_in_article(spark):
     assert extracted(spark, pages + [copy] * 4) == [f"T{k}\ntext {k}" for k in range(4)] + ["Copy\nof one"] * 4
 
 
+def test_html_shared_sentence_stays(spark):
+    """A sentence that three of eight articles of a host share is content; the line on all of them is template."""
+    pages = [f"<article><h1>T{k}</h1><p>start {k}</p>{'<p>The shared sentence.</p>' if k in (1, 4, 6) else ''}<p>end {k}</p><p>All rights reserved by the host</p></article>" for k in range(8)]
+    want = [f"T{k}\nstart {k}\n" + ("The shared sentence.\n" if k in (1, 4, 6) else "") + f"end {k}" for k in range(8)]
+    assert extracted(spark, pages) == want
+
+
 def test_html_odd_first_page(spark):
     """Template nodes of layouts that the first page lacks are learnt, in any order of the pages."""
     odd = "<div class=error>Gone</div>"
