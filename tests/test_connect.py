@@ -42,8 +42,10 @@ def groups(n, edges, alive=None):
     return list(of.values())
 
 
-def test_components(tables, graphs):
-    got = {(r.graph_id, r.node_id): r.label for r in C.components(*tables).collect()}
+@pytest.mark.parametrize("in_task", [0, 20, 50_000])
+def test_components(tables, graphs, in_task):
+    """All graphs in joins, the larger ones, none."""
+    got = {(r.graph_id, r.node_id): r.label for r in C.components(*tables, in_task=in_task).collect()}
     want = {(g, x): max(own) for g, (n, e) in graphs.items() for own in groups(n, e) for x in own}
     assert got == want
     nodes, edges = tables
@@ -81,6 +83,9 @@ def test_robustness_of_star_and_path(spark):
     order = spark.createDataFrame([("s", k, k) for k in range(4)] + [("p", x, k) for k, x in enumerate((1, 0, 2, 3))], "graph_id string, node_id long, step long")
     got = {r.graph_id: (r.nd, r.cn) for r in C.robustness(nodes, edges, order).collect()}
     assert got == {"s": (3 / 16, 0), "p": (5 / 16, pytest.approx(1 / 12))}
+    priced = nodes.withColumn("cost", F.col("node_id") + 1)
+    got = {r.graph_id: (r.nd_cost, r.cn_cost) for r in C.cost_robustness(priced, edges, order, "cost").collect()}
+    assert got["p"] == (pytest.approx(0.225), pytest.approx(0.05)) and got["s"][1] == 0
 
 
 def plain_mutual(n, layers):

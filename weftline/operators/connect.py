@@ -25,6 +25,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from weftline.operators.local import Union, per_graph
 from weftline.scratch import Rounds, zero
 
 #: Rows of a graph that one task sums up in order, as a power of two.
@@ -77,15 +78,35 @@ def tree(edges: DataFrame, rounds: Rounds) -> DataFrame:
     return reduce(DataFrame.unionByName, found or kinds)
 
 
-def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """graph_id, node_id, label: the largest node id of the component."""
+def _labelled(ids, src, dst, weight):
+    """Kernel: the largest node of each node's component, by union-find."""
+    u = Union(len(ids))
+    for a, b in zip(src.tolist(), dst.tolist(), strict=True):
+        u.join(a, b)
+    roots = [u.root(k) for k in range(len(ids))]
+    top = {r: int(ids[k]) for k, r in enumerate(roots)}
+    return ((int(ids[k]), top[r]) for k, r in enumerate(roots))
+
+
+def components(nodes: DataFrame, edges: DataFrame, in_task: int = 50_000) -> DataFrame:
+    """graph_id, node_id, label: the largest node id of the component.
+
+    Graphs of at most ``in_task`` edges, as many as there are, are labelled one in a task; larger ones, of any size, in joins. Labels are the same either way.
+    """
     rounds = Rounds(nodes.sparkSession, "components")
-    every = rounds.put(nodes.select("graph_id", "node_id").where("graph_id is not null and node_id is not null").distinct())
-    links = tree(_known(every, edges).select("graph_id", "src", "dst", F.lit(0).alias("time")), rounds)
+    every = nodes.select("graph_id", "node_id").where("graph_id is not null and node_id is not null").distinct()
+    ends = rounds.put(_known(every, edges).select("graph_id", F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct())
+    large, n = rounds.counted(ends.groupBy("graph_id").agg(F.count("*").alias("m")).where(F.col("m") > in_task).select("graph_id"), F.lit(1))
+    in_one = lambda t: t.join(large, "graph_id", "left_anti") if n else t
+    small = per_graph(in_one(every), in_one(ends).withColumn("weight", F.lit(1.0)), _labelled, f"graph_id {dict(nodes.dtypes)['graph_id']}, node_id long, label long")
+    if not n:
+        return small
+    every, ends = rounds.put(every.join(large, "graph_id", "left_semi")), ends.join(large, "graph_id", "left_semi")
+    links = tree(ends.withColumn("time", F.lit(0)), rounds)
     to = _resolve(links.select("graph_id", F.col("node_id").alias("u"), F.col("parent").alias("up")), ["graph_id"], rounds)
     rooted = every.join(to.withColumnRenamed("u", "node_id"), ["graph_id", "node_id"], "left").withColumn("up", F.coalesce("up", "node_id"))
     top = rooted.groupBy("graph_id", "up").agg(F.max("node_id").alias("label"))
-    return rooted.join(top, ["graph_id", "up"]).select("graph_id", "node_id", "label")
+    return small.unionByName(rooted.join(top, ["graph_id", "up"]).select("graph_id", "node_id", "label"))
 
 
 def _merges(links: DataFrame, bits: int, rounds: Rounds) -> DataFrame:
@@ -166,6 +187,16 @@ def robustness(nodes: DataFrame, edges: DataFrame, order: DataFrame) -> DataFram
     return size.join(sums, "graph_id", "left").select("graph_id", "n", share("l", n * n).alias("nd"), share("p", most * n).alias("cn"))
 
 
+def cost_robustness(nodes: DataFrame, edges: DataFrame, order: DataFrame, cost: str) -> DataFrame:
+    """graph_id, nd_cost, cn_cost: the curve after every removal, as a share of nodes and of pairs, weighted by the share of all cost that the removed node has; for an order of all nodes one by one."""
+    of = nodes.groupBy("graph_id").agg(F.count_distinct("node_id").cast("double").alias("n"), F.sum(cost).cast("double").alias("w"))
+    paid = order.join(nodes.select("graph_id", "node_id", F.col(cost).cast("double").alias("paid")), ["graph_id", "node_id"]).select("graph_id", (F.col("step") + 1).alias("removed"), "paid")
+    n, share = F.col("n"), F.try_divide(F.col("paid"), F.col("w"))
+    pairs = F.when(n > 1, F.col("pairs") / (n * (n - 1) / 2)).otherwise(0.0)
+    sums = removal_curve(nodes, edges, order).join(paid, ["graph_id", "removed"]).join(of, "graph_id")
+    return sums.groupBy("graph_id").agg(F.sum(F.col("largest") / n * share).alias("nd_cost"), F.sum(pairs * share).alias("cn_cost"))
+
+
 def mutual_components(nodes: DataFrame, layers: DataFrame) -> DataFrame:
     """graph_id, node_id, label: the largest node id of the largest sets of nodes that are connected within themselves in every layer.
 

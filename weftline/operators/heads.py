@@ -90,8 +90,8 @@ def implicit_quantile(h, w, legal=None, aux=(), tau=(0.25, 0.5, 0.75), cosines:
     return np.stack([mlp(x * b, w, "iqn", h.shape[1], 1)[:, 0] for b in bend], 1)
 
 
-@head("finder_q")
-def finder_q(h, w, legal=None, aux=(0, 0, 0, 1)):
+@head("crossed_q")
+def crossed_q(h, w, legal=None, aux=(0, 0, 0, 1)):
     """Node and graph states multiplied through one vector, then scored beside ``aux``."""
     legal = np.ones(len(h), bool) if legal is None else legal
     whole = normalised(h[legal].sum(0)[None])[0]

@@ -39,6 +39,15 @@ def degree_robustness(spark, sf_dir):
     return C.robustness(n, e, _by_degree(n, e)).select("graph_id", "n", _r("nd", 9).alias("nd"), _r("cn", 9).alias("cn"))
 
 
+@query(_CURVE + """, c as (select g, count(*) n, sum(p_retailprice) w from n group by 1)
+  select c.g graph_id, round(sum(l / n::double * p_retailprice / w), 9) nd_cost, round(sum(case when n > 1 then p / (n * (n - 1) / 2) else 0 end * p_retailprice / w), 9) cn_cost
+  from c join o on o.g = c.g join cv on cv.g = o.g and cv.k = o.s + 1 join n on n.g = o.g and n.v = o.v group by c.g""")
+def cost_robustness(spark, sf_dir):
+    """Robustness of the order by degree, weighted by the removed part's share of all prices."""
+    n, e = _brand(spark, sf_dir)
+    return C.cost_robustness(n, e, _by_degree(n, e), "price").select("graph_id", _r("nd_cost", 9).alias("nd_cost"), _r("cn_cost", 9).alias("cn_cost"))
+
+
 def _layers(spark, sf_dir):
     """A layer a return flag: parts of one brand that share an order in lines of that flag."""
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", F.col("l_returnflag").alias("layer")).distinct()
