@@ -71,3 +71,21 @@ def test_kept_scores(kind):
             assert A.attack_order(near, A.SCORES[kind], batch)[: len(plain)] == plain
     n, used, *_ = within(25, A.attack(kind), sparse(10_000, 24_000))[0]
     assert n == 10_000 and 4_000 < used < 8_000
+
+
+@pytest.mark.parametrize("strategy", ["count", "rank", "multiple"])
+def test_reinsertion(strategy):
+    for seed in range(6):
+        ids, src, dst, _ = sparse(40, 30 + 15 * seed, seed)
+        near = L.neighbours(40, src, dst)
+        removed = L.adaptive_degree_order(near)[:30]
+        for step, cost in ((1, None), (1, A.degree_cost(near)), (3, None)):
+            assert L.reinsert(near, removed, strategy, step, cost) == plain_reinsert(near, removed, strategy, step, cost)
+    for kernel in (A.reinserted(strategy), A.reinserted(strategy, True), L.reinsertion):
+        assert within(25, kernel, sparse(10_000, 24_000))
+
+
+def test_greedy_cover():
+    ids, src, dst, _ = sparse(40, 90)
+    assert [x for _, x in L.greedy_cover(ids, src, dst, None)] == plain_order(L.neighbours(40, src, dst), A.degree_score, 1)
+    assert within(15, L.greedy_cover, sparse(30_000, 71_000))
