@@ -7,6 +7,7 @@ import pytest
 
 from weftline.operators import attacks as A
 from weftline.operators import local as L
+from weftline.operators import solvers as V
 
 
 def sparse(n, m, seed=0, most=1):
@@ -89,3 +90,62 @@ def test_greedy_cover():
     ids, src, dst, _ = sparse(40, 90)
     assert [x for _, x in L.greedy_cover(ids, src, dst, None)] == plain_order(L.neighbours(40, src, dst), A.degree_score, 1)
     assert within(15, L.greedy_cover, sparse(30_000, 71_000))
+
+
+def weights(ids, src, dst, w):
+    out = np.zeros((len(ids), len(ids)))
+    np.add.at(out, (src, dst), w)
+    return out + out.T
+
+
+def test_sets_and_covers():
+    for seed in range(6):
+        g = sparse(40, 20 + 15 * seed, seed)
+        near = L.neighbours(40, g[1], g[2])
+        live, want = set(range(40)), []
+        while live:
+            x = max(live, key=lambda k: ((len(near[k]) + 1) / (1 + len(near[k] & live)), -k))
+            live -= near[x] | {x}
+            want.append(x)
+        assert [x for _, x in V.weighted_set(*g)] == want
+        live, want = set(range(40)), []
+        while live:
+            x = max(range(40), key=lambda k: (len((near[k] | {k}) & live), -k))
+            live -= near[x] | {x}
+            want.append(x)
+        assert [x for _, x in V.dominating_set(*g)] == want
+        held = {s: set(g[2][g[1] == s].tolist()) for s in set(g[1].tolist())}
+        left, want = set(g[2].tolist()), []
+        while left:
+            s = max(held, key=lambda k: (len(held[k] & left), -k))
+            want.append((len(want), s, len(held[s] & left)))
+            left -= held[s]
+        assert list(V.set_cover(*g)) == want
+    for kernel in (V.weighted_set, V.dominating_set, V.set_cover):
+        assert within(20, kernel, sparse(30_000, 71_000))
+    assert within(40, V.annealed_set, sparse(40_000, 95_000))
+
+
+def test_sparse_forms():
+    """A dense form of 100,000 nodes would take 80 GB."""
+    for seed in range(6):
+        g = sparse(40, 20 + 15 * seed, seed, 3)
+        a, b, x, flips = weights(*g), V.node_bias(g[0]), np.zeros(40), 0
+        while (gain := (1 - 2 * x) * (b + a @ x)).min() < 0:
+            k = int(np.argmin(gain))
+            x[k], flips = 1 - x[k], flips + 1
+        assert list(V.descended_form(*g)) == [(40, float(x @ b + x @ a @ x / 2), flips)]
+        k, rng, best = a.sum(1), np.random.default_rng([0, 40]), 0.0
+        two = k.sum()
+        for _ in range(10):
+            side = rng.choice([-1.0, 1.0], 40)
+            while (gain := -side * (a @ side) * two + side * k * (k @ side) - k * k).max() > 0:
+                side[int(np.argmax(gain))] *= -1
+            best = max(best, V.modularity(a, side))
+        assert next(iter(V.climbed_modularity(*g)))[1] == pytest.approx(best)
+    large = sparse(100_000, 238_000, most=2)
+    total = large[3].sum()
+    assert total / 2 < within(60, lambda *g: V.annealed_cut(*g, sweeps=5), large)[0][1] <= total
+    assert within(60, V.descended_form, large)[0][1] < 0
+    assert within(60, lambda *g: V.climbed_modularity(*g, restarts=1), large)[0][1] > 0.2
+    assert within(5, V.spectral_modularity, large) == [(100_000, None)]
