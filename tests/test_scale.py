@@ -149,3 +149,19 @@ def test_sparse_forms():
     assert within(60, V.descended_form, large)[0][1] < 0
     assert within(60, lambda *g: V.climbed_modularity(*g, restarts=1), large)[0][1] > 0.2
     assert within(5, V.spectral_modularity, large) == [(100_000, None)]
+
+
+def test_laplacian_without_dense_table():
+    for seed in range(3):
+        ids, src, dst, w = sparse(120, 150, seed)
+        src, dst = np.concatenate([src, np.arange(119)]), np.concatenate([dst, np.arange(1, 120)])
+        dense, loose = ([x for _, x in V.laplacian_coordinates(ids, src, dst, None, dense=d)] for d in (1500, 0))
+        assert np.allclose(dense, loose, atol=1e-6)
+    # a path of 3, one of 2, a node alone, a ring of 30: two of three components, then eigenvectors of the ring
+    src, dst = np.array([0, 1, 3, *range(6, 36)]), np.array([1, 2, 4, *range(7, 36), 6])
+    rows = np.array([x for _, x in V.laplacian_coordinates(np.arange(36), src, dst, None, dense=0)])
+    assert np.allclose(rows[[3, 4], 0], 0.5**0.5) and np.allclose(rows[6:, 1], 30**-0.5) and not rows[5].any()
+    assert np.allclose((rows**2).sum(0), 1) and np.allclose((rows[6:, 2:] ** 2).sum(1), 2 / 30)
+    ids, src, dst, w = sparse(40_000, 95_000)
+    rows = np.array([x for _, x in within(90, V.laplacian_coordinates, (ids, np.concatenate([src, ids[:-1]]), np.concatenate([dst, ids[1:]]), None))])
+    assert rows.shape == (40_000, 4) and np.allclose((rows**2).sum(0), 1)
