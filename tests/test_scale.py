@@ -7,6 +7,7 @@ import pytest
 
 from weftline.operators import attacks as A
 from weftline.operators import local as L
+from weftline.operators import search as S
 from weftline.operators import solvers as V
 
 
@@ -165,3 +166,15 @@ def test_laplacian_without_dense_table():
     ids, src, dst, w = sparse(40_000, 95_000)
     rows = np.array([x for _, x in within(90, V.laplacian_coordinates, (ids, np.concatenate([src, ids[:-1]]), np.concatenate([dst, ids[1:]]), None))])
     assert rows.shape == (40_000, 4) and np.allclose((rows**2).sum(0), 1)
+
+
+def test_closeness_attack_and_search():
+    for seed in range(6):
+        ids, src, dst, _ = sparse(40, 20 + 12 * seed, seed)
+        near = L.neighbours(40, src, dst)
+        plain = plain_order(near, A.closeness_score, 1)
+        assert A.attack_order(near, A.closeness_score)[: len(plain)] == plain
+        want = [sum(d := A.distances(near, x).values()) and (len(d) - 1) ** 2 / (sum(d) * 39) for x in range(40)]
+        assert [c for _, c in S.closeness(ids, src, dst, None)] == want
+    assert within(25, A.attack("closeness"), sparse(1_000, 2_400))
+    assert len(within(25, S.closeness, sparse(10_000, 24_000))) == 10_000
