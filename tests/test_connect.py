@@ -77,6 +77,15 @@ def test_removal_curve(spark, tables, graphs, kind, monkeypatch):
     assert got == {g: plain_curve(n, e, steps[g]) for g, (n, e) in graphs.items()}
 
 
+def test_removal_curve_in_joins_and_tasks(spark, tables, graphs):
+    """Graphs in tasks and larger ones in joins have the same curves, with ties, nodes without a step and graphs without any."""
+    rng = np.random.default_rng(8)
+    steps = [(g, x, int(rng.integers(0, n))) for g, (n, _) in graphs.items() for x in range(n) if g != "r2" and rng.random() < 0.8]
+    order = spark.createDataFrame(steps, "graph_id string, node_id long, step long")
+    tasks, mixed = ({tuple(r) for r in C.removal_curve(*tables, order, in_task=k).collect()} for k in (1000, 30))
+    assert tasks == mixed and len(mixed) > 50
+
+
 def test_robustness_of_star_and_path(spark):
     nodes = spark.createDataFrame([(g, k) for g in "sp" for k in range(4)], "graph_id string, node_id long")
     edges = spark.createDataFrame([("s", 0, k) for k in (1, 2, 3)] + [("p", k, k + 1) for k in range(3)], "graph_id string, src long, dst long")

@@ -22,6 +22,8 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,6 +32,8 @@ from weftline.scratch import Rounds, zero
 
 #: Rows of a graph that one task sums up in order, as a power of two.
 STRIPE = 16
+#: Edges of the largest graph that one task holds; of larger ones no task sees more than a part.
+IN_TASK = 1_000_000
 
 
 def _resolve(links: DataFrame, keys: list[str], rounds: Rounds) -> DataFrame:
@@ -47,7 +51,7 @@ def _known(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     ids = nodes.select("graph_id", "node_id").distinct()
     kept = edges.where("src != dst")
     for end in ("src", "dst"):
-        kept = kept.join(ids.withColumnRenamed("node_id", end), ["graph_id", end], "left_semi")
+        kept = kept.join(ids.withColumnRenamed("node_id", end).hint("merge"), ["graph_id", end], "left_semi")  # as many rows as nodes, which the driver should not gather
     return kept
 
 
@@ -88,7 +92,7 @@ def _labelled(ids, src, dst, weight):
     return ((int(ids[k]), top[r]) for k, r in enumerate(roots))
 
 
-def components(nodes: DataFrame, edges: DataFrame, in_task: int = 50_000) -> DataFrame:
+def components(nodes: DataFrame, edges: DataFrame, in_task: int = IN_TASK) -> DataFrame:
     """graph_id, node_id, label: the largest node id of the component.
 
     Graphs of at most ``in_task`` edges, as many as there are, are labelled one in a task; larger ones, of any size, in joins. Labels are the same either way.
@@ -151,17 +155,52 @@ def _downward(rows: DataFrame, order: list[str], **aggs: tuple[str, str]) -> Dat
     return rows.withColumns({k: both[f](k) for k, (f, _) in aggs.items()}).drop("stripe", *[f"{k}_above" for k in aggs])
 
 
-def removal_curve(nodes: DataFrame, edges: DataFrame, order: DataFrame) -> DataFrame:
+def _curves(life: DataFrame, edges: DataFrame) -> DataFrame:
+    """``removal_curve`` of graphs of which each fits in a task, by union-find from the last time back. ``life``: graph_id, node_id, life, step."""
+    kind = dict(life.dtypes)["graph_id"]
+
+    def run(key, n: pd.DataFrame, e: pd.DataFrame) -> pd.DataFrame:
+        ids, lives = pd.Index(n["node_id"]), n["life"].to_numpy(np.int64)
+        a, b = ids.get_indexer(e["src"]), ids.get_indexer(e["dst"])
+        on = (a >= 0) & (b >= 0)
+        a, b = a[on], b[on]
+        time = np.minimum(lives[a], lives[b])
+        at = np.argsort(-time, kind="stable")
+        asked = np.unique(np.r_[0, n["step"].dropna().to_numpy(np.int64) + 1])[::-1]
+        ends = np.searchsorted(-time[at], -asked, side="right").tolist()
+        a, b, u, done, largest, pairs = a[at].tolist(), b[at].tolist(), Union(len(ids)), 0, [], []
+        for end in ends:
+            for k in range(done, end):
+                u.join(a[k], b[k])
+            done = end
+            largest.append(u.largest)
+            pairs.append(u.pairs)
+        out = pd.DataFrame({"removed": asked, "largest": np.maximum(largest, asked <= lives.max()), "pairs": pairs})
+        out.insert(0, "graph_id", key[0])
+        return out
+
+    own = edges.join(life.select("graph_id").distinct(), "graph_id", "left_semi")
+    return life.groupBy("graph_id").cogroup(own.groupBy("graph_id")).applyInPandas(run, f"graph_id {kind}, removed long, largest long, pairs long")
+
+
+def removal_curve(nodes: DataFrame, edges: DataFrame, order: DataFrame, in_task: int = IN_TASK) -> DataFrame:
     """graph_id, removed, largest, pairs: largest component and connected pairs of nodes once all of a step at most ``removed - 1`` are gone; 0 is the whole graph.
 
     ``order``: graph_id, node_id, step, from 0. Nodes of one step go together; nodes without a step stay. One row for each step and one for none.
+    Graphs of at most ``in_task`` edges, as many as there are, take a task each; larger ones, of any size, take joins.
     """
     rounds = Rounds(nodes.sparkSession, "curve")
+    edges = rounds.put(edges.where("src != dst").select("graph_id", "src", "dst"))
+    large, n_large = rounds.counted(edges.groupBy("graph_id").agg(F.count("*").alias("m")).where(F.col("m") > in_task).select("graph_id"), F.lit(1))
     every = nodes.select("graph_id", "node_id").where("graph_id is not null and node_id is not null").distinct()
     steps = order.where("step is not null").groupBy("graph_id", "node_id").agg(F.min("step").cast("long").alias("step"))
     ends = steps.groupBy("graph_id").agg((F.max("step") + 1).alias("never"))
-    life = rounds.put(every.join(steps, ["graph_id", "node_id"], "left").join(ends, "graph_id", "left").select("graph_id", "node_id", F.coalesce("step", "never", F.lit(0)).alias("life")))
-    timed = edges.where("src != dst")
+    life = rounds.put(every.join(steps, ["graph_id", "node_id"], "left").join(ends, "graph_id", "left").select("graph_id", "node_id", F.coalesce("step", "never", F.lit(0)).alias("life"), "step"))
+    in_one = lambda t: t.join(large, "graph_id", "left_anti") if n_large else t
+    small = _curves(in_one(life), in_one(edges))
+    if not n_large:
+        return small
+    every, life, steps, timed = (t.join(large, "graph_id", "left_semi") for t in (every, life, steps, edges))
     for end in ("src", "dst"):
         timed = timed.join(life.select("graph_id", F.col("node_id").alias(end), F.col("life").alias(f"life_{end}")), ["graph_id", end])
     links = rounds.put(tree(timed.select("graph_id", "src", "dst", F.least("life_src", "life_dst").alias("time")), rounds).select("graph_id", F.col("node_id").alias("c"), F.col("parent").alias("p"), "time"))
@@ -173,7 +212,7 @@ def removal_curve(nodes: DataFrame, edges: DataFrame, order: DataFrame) -> DataF
     zeros = [F.lit(0).cast("long").alias(c) for c in ("held", "size", "new")]
     rows = gained.unionByName(asked.select("graph_id", "at", *zeros, F.lit(1).alias("ask")))
     summed = _downward(rows, ["ask"], largest=("max", "size"), pairs=("sum", "new"))
-    return summed.where("ask = 1").select("graph_id", F.col("at").alias("removed"), "largest", "pairs")
+    return small.unionByName(summed.where("ask = 1").select("graph_id", F.col("at").alias("removed"), "largest", "pairs"))
 
 
 def robustness(nodes: DataFrame, edges: DataFrame, order: DataFrame) -> DataFrame:

@@ -157,7 +157,7 @@ def tree(sized: DataFrame, seed: int = 0) -> DataFrame:
     f = rounds.put(nodes(sized).join(sized.select("graph_id", "n"), "graph_id").select("graph_id", "node_id", image.alias("to")))
     most, far, times = sized.agg(F.max("n")).first()[0] or 0, f, 1
     while times < most:
-        new = rounds.put(far.join(far.select("graph_id", F.col("node_id").alias("to"), F.col("to").alias("next")), ["graph_id", "to"]).select("graph_id", "node_id", F.col("next").alias("to")))
+        new = rounds.put(far.join(far.select("graph_id", F.col("node_id").alias("to"), F.col("to").alias("next")).hint("merge"), ["graph_id", "to"]).select("graph_id", "node_id", F.col("next").alias("to")))
         if times > 1:
             rounds.drop(far)
         far, times = new, 2 * times
