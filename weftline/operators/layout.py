@@ -23,16 +23,29 @@ def gutters(blocks: DataFrame, pages: DataFrame) -> DataFrame:
 
     The best x has most blocks on its poorer side, less three for each block across it; the first of equals wins.
     """
-    inside = blocks.join(pages.select(*PAGE, "width"), PAGE).groupBy(*PAGE).agg(F.first("width").alias("width"), F.collect_list(F.struct("x0", "x1")).alias("b"))
-    # the inner points of so many steps
-    xs = F.transform(F.sequence(F.lit(1), F.lit(GUTTER["steps"] - 1)), lambda k: F.col("width") * (F.lit(GUTTER["from"]) + F.lit(GUTTER["to"] - GUTTER["from"]) * k / GUTTER["steps"]))
-    at = inside.where(F.size("b") >= 6).select(*PAGE, "b", F.posexplode(xs).alias("k", "x"))
-    many = lambda test: F.size(F.filter("b", test))
-    left, right = many(lambda b: b["x1"] <= F.col("x")), many(lambda b: b["x0"] >= F.col("x"))
-    cross = F.size("b") - F.col("left") - F.col("right")
-    found = at.withColumn("left", left).withColumn("right", right).withColumn("cross", cross).where((F.col("left") >= 4) & (F.col("right") >= 4) & (F.col("cross") <= F.greatest(F.lit(2), F.floor(F.size("b") * F.lit(0.15)))))
-    best = found.groupBy(*PAGE).agg(F.max_by("x", F.struct(F.least("left", "right") - 3 * F.col("cross"), -F.col("k"))).alias("gutter"))
-    return best
+    last = GUTTER["steps"] - 1
+    x = lambda k: F.col("width") * (F.lit(GUTTER["from"]) + F.lit(GUTTER["to"] - GUTTER["from"]) * k / GUTTER["steps"])
+    near = lambda v: F.greatest(F.least((F.try_divide(F.col(v), F.col("width")) - GUTTER["from"]) * (GUTTER["steps"] / (GUTTER["to"] - GUTTER["from"])), F.lit(float(last))), F.lit(1.0))
+
+    def beyond(v: str, test) -> Column:
+        """The first of the inner points that passes, one past the last if none does: the one reckoned or one beside it, told by the test itself."""
+        k = F.coalesce(F.ceil(near(v)), F.lit(1)).cast("int")
+        found = F.lit(last + 1)
+        for step in (2, 1, 0, -1, -2):
+            found = F.when((k + step >= 1) & (k + step <= last) & test(F.col(v), x(k + step)), k + step).otherwise(found)
+        return found
+
+    of = blocks.join(pages.select(*PAGE, "width"), PAGE).select(*PAGE, "width", beyond("x1", lambda v, at: v <= at).alias("k1"), beyond("x0", lambda v, at: v < at).alias("k0"), "x0")
+    step = lambda k, left, right, n: F.struct(k.cast("int").alias("k"), F.lit(left).cast("long").alias("left"), F.lit(right).cast("long").alias("right"), F.lit(n).cast("long").alias("n"))
+    right = F.col("x0").isNotNull().cast("long")
+    # what a block adds from a point on: to the left of it, no more to the right of it, and at the first, to all
+    steps = of.select(*PAGE, "width", F.explode(F.array(step(F.lit(1), 0, 0, 1).withField("right", right), step(F.col("k1"), 1, 0, 0), step(F.col("k0"), 0, 0, 0).withField("right", -right))).alias("s")).where(F.col("s.k") <= last)
+    sums = steps.groupBy(*PAGE, "s.k").agg(F.first("width").alias("width"), *[F.sum(f"s.{c}").alias(c) for c in ("left", "right", "n")])
+    upto = Window.partitionBy(*PAGE).orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
+    # between two points where something changes all are equal, and the first wins
+    at = sums.withColumns({c: F.sum(c).over(upto) for c in ("left", "right", "n")}).withColumn("cross", F.col("n") - F.col("left") - F.col("right"))
+    found = at.where((F.col("n") >= 6) & (F.col("left") >= 4) & (F.col("right") >= 4) & (F.col("cross") <= F.greatest(F.lit(2), F.floor(F.col("n") * F.lit(0.15)))))
+    return found.groupBy(*PAGE).agg(F.max_by(x(F.col("k")), F.struct(F.least("left", "right") - 3 * F.col("cross"), -F.col("k"))).alias("gutter"))
 
 
 def ordered(blocks: DataFrame, pages: DataFrame) -> DataFrame:
