@@ -115,3 +115,18 @@ def test_registered_closeness_is_computed_after_each_removal(spark, monkeypatch)
     every, second = (A.robustness(near, A.attack_order(near, A.SCORES["closeness"], k)) for k in (1, 2))
     got = Q.QUERIES["attack_closeness"](spark, "").first()
     assert every != second and abs(got.nd - every[0]) < 1e-9 and abs(got.cn - every[1]) < 1e-9
+
+
+def test_curve_of_changed_places():
+    """Totals of moved orders, taken or not, against the whole curve."""
+    rng = np.random.default_rng(2)
+    for n, m in ((5, 4), (40, 60), (90, 70)):
+        near = L.neighbours(n, rng.integers(0, n, m), rng.integers(0, n, m))
+        order = rng.permutation(n)
+        curve = A.Curve(near, order, kept=4)
+        for t in range(60):
+            trial, i, j = A._moved(order, A.MOVES[t % 3], n, rng)
+            assert curve.trial(trial, i, j) == sum(c[0] for c in L.dismantling_curve(trial.tolist(), near)[1:n])
+            if rng.random() < 0.5:
+                curve.take(trial, i, j)
+                order = trial
