@@ -130,3 +130,12 @@ def test_curve_of_changed_places():
             if rng.random() < 0.5:
                 curve.take(trial, i, j)
                 order = trial
+
+
+def test_pagerank_attack_keeps_its_links():
+    """The same removals as by scores of links made anew."""
+    rng = np.random.default_rng(4)
+    for n, m in ((6, 5), (50, 90)):
+        near = L.neighbours(n, rng.integers(0, n, m), rng.integers(0, n, m))
+        assert A.attack_order(near, A.pagerank_score) == A.attack_order(near, lambda now: A.pagerank_score(now))
+        assert A._pagerank_removals([set(x) for x in near]) == A.attack_order(near, A.pagerank_score)[: A.removals(near, A.attack_order(near, A.pagerank_score))]
