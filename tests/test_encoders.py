@@ -45,3 +45,13 @@ def test_encode_matches_joins(spark):
     assert {(r.graph_id, r.node_id): pytest.approx(r.h[0]) for r in got} == want
     with pytest.raises(ValueError):
         E.encode(nodes.withColumn("x", F.array("v")), edges, "nope")
+
+
+def test_messages_in_blocks(monkeypatch):
+    """Messages sent some edges at a time add up to the last digit to those sent at once."""
+    rng = np.random.default_rng(6)
+    src, dst, factor, h = rng.integers(0, 9, 50), rng.integers(0, 9, 50), rng.random((50, 1)), rng.random((9, 4))
+    g = E.Graph(9, src, dst, np.ones(50), np.zeros(50, int), np.zeros(9, int))
+    monkeypatch.setattr(E, "AT_ONCE", 7)
+    assert np.array_equal(g.sent(h, factor), g.total(h[src] * factor))
+    assert np.array_equal(g.sent(h, None, dst, src, 12), g.total(h[dst], src, 12))

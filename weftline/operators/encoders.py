@@ -58,6 +58,10 @@ class Weights:
         return self.known[name]
 
 
+#: Edges whose messages are held at a time.
+AT_ONCE = 1 << 15
+
+
 @dataclass
 class Graph:
     """Both directions of every edge; weights and kinds of edges, kinds of nodes, and incidence of hyperedges."""
@@ -76,6 +80,15 @@ class Graph:
         np.add.at(out, self.dst if at is None else at, rows)
         return out
 
+    def sent(self, h, factor=None, src=None, at=None, size=None):
+        """``total`` of ``h`` at the sources, times a factor of each edge if given; some edges at a time, so that no table has edges times width."""
+        src, at = self.src if src is None else src, self.dst if at is None else at
+        out = np.zeros((self.n if size is None else size, *h.shape[1:]))
+        for lo in range(0, len(src), AT_ONCE):
+            on = slice(lo, lo + AT_ONCE)
+            np.add.at(out, at[on], h[src[on]] if factor is None else h[src[on]] * factor[on])
+        return out
+
     def most(self, rows):
         out = np.full((self.n, *rows.shape[1:]), -np.inf)
         np.maximum.at(out, self.dst, rows)
@@ -91,7 +104,7 @@ class Graph:
     def smooth(self, h):
         """The symmetric normalised adjacency with self loops, times ``h``."""
         c = 1 / np.sqrt(self.degree + 1)
-        return self.total(h[self.src] * (c[self.src] * c[self.dst])[:, None]) + h * (c * c)[:, None]
+        return self.sent(h, (c[self.src] * c[self.dst])[:, None]) + h * (c * c)[:, None]
 
     def share(self, score, at=None, size=None):
         """Softmax of edge scores over the edges of one target."""
@@ -164,7 +177,7 @@ def gat(g, h, w, d, k, first, heads: int = 4):
     """Attention by a sum of a source and a target term."""
     z = _heads(h @ w(f"gat{k}", d, d), heads)
     score = (z * w(f"a{k}", heads, d // heads)).sum(2)[g.src] + (z * w(f"b{k}", heads, d // heads)).sum(2)[g.dst]
-    return ACTIVATIONS["elu"](g.total(g.share(leaky(score))[:, :, None] * z[g.src]).reshape(g.n, d)) + h
+    return ACTIVATIONS["elu"](g.sent(z, g.share(leaky(score))[:, :, None]).reshape(g.n, d)) + h
 
 
 @encoder("gatv2")
@@ -172,7 +185,7 @@ def gatv2(g, h, w, d, k, first, heads: int = 4):
     """Attention after the non-linearity, so that the ranking depends on the target."""
     s, t = _heads(h @ w(f"s{k}", d, d), heads), _heads(h @ w(f"t{k}", d, d), heads)
     score = (leaky(s[g.src] + t[g.dst]) * w(f"a{k}", heads, d // heads)).sum(2)
-    return ACTIVATIONS["elu"](g.total(g.share(score)[:, :, None] * s[g.src]).reshape(g.n, d)) + h
+    return ACTIVATIONS["elu"](g.sent(s, g.share(score)[:, :, None]).reshape(g.n, d)) + h
 
 
 @encoder("s2v", "dirac_s2v", start=False)
@@ -360,8 +373,8 @@ def hgnn(g, h, w, d, k, first):
     if not len(g.member):
         return relu(g.smooth(z))
     m, size, at = _hyper(g)
-    f = g.total(z[g.member], g.hyperedge, m) / size[:, None]
-    return relu(g.total(f[g.hyperedge], g.member) / np.sqrt(at)[:, None])
+    f = g.sent(z, None, g.member, g.hyperedge, m) / size[:, None]
+    return relu(g.sent(f, None, g.hyperedge, g.member) / np.sqrt(at)[:, None])
 
 
 @encoder("hypergcn")
