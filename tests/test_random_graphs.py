@@ -108,6 +108,18 @@ def test_preferential(spark):
     assert max(degree.values()) > 25
 
 
+def test_preferential_in_tasks_and_joins(spark):
+    of = sized(spark, 2, 5, 300)
+    assert pairs(N.preferential(of, 3, seed=5)) == pairs(N.preferential(of, 3, seed=5, in_task=0)) == pairs(N.preferential(of, 3, seed=5, in_task=500))
+
+
+def test_preferential_runs_out_of_draws():
+    """Edges of node 4 that all draw end 0 repeat, and are told to come back with more draws."""
+    v, j, m = np.repeat(np.arange(3, 6), 3), np.tile(np.arange(3), 3), 3
+    to, used = N._grown(m, v, j, np.zeros(18), np.arange(0, 18, 2), np.full(9, 2))
+    assert to is None and used.tolist() == [0, 0, 0, 0, 2, 2, 0, 2, 2]
+
+
 def test_small_world(spark):
     ns = (1, 2, 4, 5, 6, 300)
     of = sized(spark, *ns)

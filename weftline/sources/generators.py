@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weftline.operators.connect import _resolve
+from weftline.operators.connect import IN_TASK, _resolve
 from weftline.scratch import Rounds
 
 #: Edges of a range of pairs, drawn in one go.
@@ -229,16 +230,82 @@ def regular(sized: DataFrame, degree: int = 3, seed: int = 0) -> DataFrame:
     return made.join(of.where("not dense").select("graph_id"), "graph_id", "left_semi").unionByName(rest)
 
 
-def preferential(sized: DataFrame, m: int = 4, seed: int = 0) -> DataFrame:
+def preferential(sized: DataFrame, m: int = 4, seed: int = 0, in_task: int = IN_TASK) -> DataFrame:
     """Each node from the m-th on joins ``m`` different earlier ones, drawn by degree; node m joins all before it. m is from 1 to n - 1.
 
     An edge's end copies an end of an earlier edge, drawn by hash among all ends so far: the newer end is a known node, the older one a copy itself, followed by pointer jumping. Ends that repeat within a
-    node draw again, with what copied them, until none does. All edges of a graph are made side by side.
+    node draw again, with what copied them, until none does. All edges of a graph are made side by side: of at most ``in_task`` edges in one task a graph, of more in joins, with equal results.
     """
     rounds = Rounds(sized.sparkSession, "preferential")
     of = sized.where("n > 1").select("graph_id", "n", F.greatest(F.lit(1), F.least(F.lit(m).cast("long"), F.col("n") - 1)).alias("m"))
+    small = (F.col("n") - F.col("m")) * F.col("m") <= in_task
+    grown = _grown_in_tasks(_slots(of.where(small)), seed, rounds)
+    large = of.where(~small)
+    if not large.isEmpty():
+        grown = grown.unionByName(_grown_in_joins(_slots(large), seed, rounds))
+    return grown.select("graph_id", F.col("to").alias("src"), F.col("node_id").alias("dst"), F.lit(1.0).alias("weight"))
+
+
+def _slots(of: DataFrame) -> DataFrame:
+    """Every edge to be made: its newer node, its place among the node's and among all."""
     each = of.withColumn("node_id", F.explode(F.expr("sequence(m, n - 1)"))).withColumn("j", F.explode(F.expr("sequence(cast(0 as bigint), m - 1)")))
-    slots = rounds.put(each.select("graph_id", "m", "node_id", "j", ((F.col("node_id") - F.col("m")) * F.col("m") + F.col("j")).alias("e"), F.lit(0).cast("long").alias("tries")))
+    return each.select("graph_id", "m", "node_id", "j", ((F.col("node_id") - F.col("m")) * F.col("m") + F.col("j")).alias("e"), F.lit(0).cast("long").alias("tries"))
+
+
+def _grown_in_tasks(slots: DataFrame, seed: int, rounds: Rounds) -> DataFrame:
+    """graph_id, node_id, to. Tasks get each edge's next draws, more for early nodes, which repeat more; a graph that runs out of them comes back with its count of tries and gets the next ones."""
+    ahead = F.sequence(F.lit(0), F.when(F.col("e") < 4096, 23).otherwise(1))
+    draws = F.transform(ahead, lambda k: draw(seed, "graph_id", "e", F.col("tries") + k.cast("long"), F.lit("copy")))
+    longs = ["m", "node_id", "j", "e", "tries", "to"]
+    schema = T.StructType([slots.schema["graph_id"], *[T.StructField(c, T.LongType()) for c in longs], T.StructField("short", T.BooleanType())])
+
+    def grow(key, table):
+        m, v, j, e, tries = (table[c].to_numpy() for c in longs[:-1])
+        order = np.argsort(e)
+        lists = pa.concat_arrays(table["draws"].chunks)
+        begin = (lists.offsets.to_numpy()[:-1] - lists.offsets[0].as_py())[order]
+        to, used = _grown(int(m[0]), v[order], j[order], lists.flatten().to_numpy(), begin, pa.compute.list_value_length(lists).to_numpy()[order])
+        columns = [x[order] for x in (m, v, j, e)] + [tries[order] + used, np.full(len(e), -1) if to is None else to]
+        return pa.table([pa.array([key[0].as_py()] * len(e), table["graph_id"].type), *map(pa.array, columns), pa.array(np.full(len(e), to is None))], ["graph_id", *longs, "short"])
+
+    done = None
+    for _ in range(1000):
+        made, short = rounds.counted(slots.withColumn("draws", draws).groupBy("graph_id").applyInArrow(grow, schema), F.col("short"))
+        whole = made.where("not short").select("graph_id", "node_id", "to")
+        done = whole if done is None else done.unionByName(whole)
+        if not short:
+            return done
+        slots = made.where("short").drop("to", "short")
+    raise RuntimeError("repeated ends are left after 1000 rounds")
+
+
+def _grown(m: int, v: np.ndarray, j: np.ndarray, draws: np.ndarray, begin: np.ndarray, many: np.ndarray) -> tuple[np.ndarray | None, np.ndarray]:
+    """The older end of every edge of one graph, in order, or None if its draws run out, and how often each was drawn again."""
+    used, first = np.zeros(len(v), np.int64), v == m
+    while (used < many).all():
+        end = np.floor(draws[begin + used] * 2 * m * (v - m)).astype(np.int64)
+        up = np.where(first | (end % 2 == 0), np.arange(len(v)), end // 2)
+        own = np.where(first, j, m + end // 2 // m)
+        while True:
+            far = up[up]
+            if (far == up).all():
+                break
+            up = far
+        to = own[up]
+        side = to.reshape(-1, m)
+        sort = np.argsort(side, axis=1, kind="stable")
+        held = np.take_along_axis(side, sort, 1)
+        again = np.zeros(side.shape, bool)
+        np.put_along_axis(again, sort[:, 1:], held[:, 1:] == held[:, :-1], 1)
+        if not again.any():
+            return to, used
+        used += again.ravel()
+    return None, used
+
+
+def _grown_in_joins(slots: DataFrame, seed: int, rounds: Rounds) -> DataFrame:
+    """graph_id, node_id, to."""
+    slots = rounds.put(slots)
     for _ in range(1000):
         end = F.floor(draw(seed, "graph_id", "e", "tries", F.lit("copy")) * 2 * F.col("m") * (F.col("node_id") - F.col("m"))).cast("long")
         drawn = slots.withColumn("end", F.when(F.col("node_id") > F.col("m"), end)).withColumn("up", F.expr("end div 2"))
@@ -252,7 +319,7 @@ def preferential(sized: DataFrame, m: int = 4, seed: int = 0) -> DataFrame:
         new, repeats = rounds.counted(full.withColumn("again", again).select("graph_id", "m", "node_id", "j", "e", (F.col("tries") + F.col("again").cast("long")).alias("tries"), "to", "again"), F.col("again"))
         rounds.drop(at, top, slots)
         if not repeats:
-            return new.select("graph_id", F.col("to").alias("src"), F.col("node_id").alias("dst"), F.lit(1.0).alias("weight"))
+            return new.select("graph_id", "node_id", "to")
         slots = new.drop("to", "again")
     raise RuntimeError("repeated ends are left after 1000 rounds")
 
