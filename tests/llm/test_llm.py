@@ -296,6 +296,15 @@ def test_html_odd_first_page(spark):
     assert extracted(spark, [odd, *pages]) == want and extracted(spark, [*pages[::-1], odd]) == want[::-1]
 
 
+def test_html_rare_layouts(spark):
+    """A notice that only pages of a layout of their own have, in a host with three commoner layouts, is template; what is found does not depend on which layouts count as common."""
+    common = [f"<section class=l{'abc'[k % 3]}><p>text {k}</p><p>more {k}</p></section>" for k in range(12)]
+    rare = [f"<div class=own><p>Notice of rare pages</p><p>rare {k}</p></div><div class={x}><b>{x} {k}</b></div>" for k, x in enumerate("defghi")]
+    want = [f"text {k}\nmore {k}" for k in range(12)] + [f"rare {k}\n{x} {k}" for k, x in enumerate("defghi")]
+    assert extracted(spark, common + rare) == want
+    assert all(extracted(spark, common + rare, layouts=n) == want for n in (0, 1, 20))
+
+
 def test_html_deep_and_among_siblings(spark):
     """Constants nested deeper than 12, or among varying siblings of one label, are template."""
     deep = lambda x: "<div>" * 20 + x + "</div>" * 20
