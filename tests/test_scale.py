@@ -178,3 +178,18 @@ def test_closeness_attack_and_search():
         assert [c for _, c in S.closeness(ids, src, dst, None)] == want
     assert within(25, A.attack("closeness"), sparse(1_000, 2_400))
     assert len(within(25, S.closeness, sparse(10_000, 24_000))) == 10_000
+
+
+def test_betweenness_attack():
+    """Scores of the removed node's piece alone computed anew, on one and on several pieces, equal to plain ones; scores that only rounding parts go by node."""
+
+    def rounded(near):
+        return np.array([float(f"{x:.9e}") for x in A.betweenness_score(near)])
+
+    for seed in range(6):
+        near = L.neighbours(40, *sparse(40, (25, 45, 90)[seed % 3], seed)[1:3])
+        order = plain_order(near, rounded, 1)
+        assert A.attack_order(near, A.betweenness_score)[: len(order)] == order
+    piece = sparse(150, 350)
+    src, dst = (np.concatenate([x + 150 * k for k in range(4)]) for x in piece[1:3])
+    assert within(30, A.attack("betweenness"), (np.arange(600), src, dst, np.ones(len(src))))
