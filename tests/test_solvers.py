@@ -67,3 +67,25 @@ def test_nothing():
         assert len(list(k(*none))) == 1
     for k in (V.weighted_set, V.dominating_set, V.clique, V.edge_cover_nodes, V.set_cover, V.laplacian_coordinates):
         assert list(k(*none)) == []
+
+
+def test_registered_spectral_modularity_beyond_600_nodes(spark, monkeypatch):
+    """A graph of 640 nodes has a value, that of the dense matrix's leading eigenvector; so have small ones."""
+    from weftline.plans import attack_queries as Q
+
+    rng = np.random.default_rng(5)
+    pairs = sorted({(min(a, b), max(a, b)) for a, b in rng.integers(0, 640, (1600, 2)).tolist() if a != b})
+    for n in (200, 640):
+        some = [(a, b) for a, b in pairs if b < n]
+        src, dst = map(np.array, zip(*some, strict=True))
+        a = V.matrix(n, src, dst, np.ones(len(src)))
+        k = a.sum(1)
+        lead = np.linalg.eigh(a - np.outer(k, k) / k.sum())[1][:, -1]
+        want = V.modularity(a, np.where(lead >= 0, 1.0, -1.0))
+        assert next(iter(V.spectral_modularity(np.arange(n), src, dst, np.ones(len(src)), most=None)))[1] == pytest.approx(want)
+    path = np.array([0, 1]), np.array([1, 2]), np.ones(2)
+    assert next(iter(V.spectral_modularity(np.arange(3), *path, most=None)))[1] == 0
+    nodes = spark.createDataFrame([("g", x) for x in range(640)], "graph_id string, node_id long")
+    links = spark.createDataFrame([("g", x, y, 1) for x, y in some], "graph_id string, src long, dst long, weight long")
+    monkeypatch.setattr(Q, "_brand", lambda *_: (nodes, links))
+    assert Q.QUERIES["spectral_modularity"](spark, "").first().q == pytest.approx(want)
