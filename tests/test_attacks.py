@@ -139,3 +139,31 @@ def test_pagerank_attack_keeps_its_links():
         near = L.neighbours(n, rng.integers(0, n, m), rng.integers(0, n, m))
         assert A.attack_order(near, A.pagerank_score) == A.attack_order(near, lambda now: A.pagerank_score(now))
         assert A._pagerank_removals([set(x) for x in near]) == A.attack_order(near, A.pagerank_score)[: A.removals(near, A.attack_order(near, A.pagerank_score))]
+
+
+@pytest.mark.parametrize("kind", A.LOCAL)
+def test_attack_in_parts(spark, monkeypatch, kind):
+    """Pieces attacked apart and merged give what the whole graph gives; equal pieces, too."""
+    rng = np.random.default_rng(8)
+    rows, nodes, want = [], [], {}
+    for g, m in (("a", 40), ("b", 95)):
+        src, dst = rng.integers(0, 50, m), rng.integers(0, 50, m)
+        src, dst = np.concatenate([src, src + 50, [100]]), np.concatenate([dst, dst + 50, [101]])
+        kept = sorted({(min(e), max(e)) for e in zip(src.tolist(), dst.tolist()) if e[0] != e[1]})
+        src, dst = map(np.array, zip(*kept))
+        nodes += [(g, k) for k in range(103)]
+        rows += [(g, a, b, 1) for a, b in kept]
+        want[g] = next(iter(A.attack(kind)(np.arange(103), src, dst, np.ones(len(src)))))
+    bare = ("c", 5), ("c", 7)
+    frames = spark.createDataFrame([*nodes, *bare], "graph_id string, node_id long"), spark.createDataFrame(rows, "graph_id string, src long, dst long, weight long")
+    whole = A.pieces
+    monkeypatch.setattr(A, "pieces", lambda n, src, dst: whole(n, src, dst, 1))
+    got = {r.graph_id: tuple(r)[1:] for r in A.attack_in_parts(*frames, kind).collect()}
+    want["c"] = next(iter(A.attack(kind)(np.arange(2), *[np.zeros(0, int)] * 2, np.zeros(0))))
+    assert got == {g: pytest.approx(x) for g, x in want.items()}
+
+
+def test_closeness_and_influence_of_many_pieces_in_time(spark):
+    """The parts of a graph of many pieces are many, so that tasks share them."""
+    src = np.concatenate([np.arange(9) + 10 * k for k in range(3000)])
+    assert len(np.unique(A.pieces(30_000, src, src + 1, 1000))) > 200
