@@ -89,3 +89,22 @@ def test_registered_spectral_modularity_beyond_600_nodes(spark, monkeypatch):
     links = spark.createDataFrame([("g", x, y, 1) for x, y in some], "graph_id string, src long, dst long, weight long")
     monkeypatch.setattr(Q, "_brand", lambda *_: (nodes, links))
     assert Q.QUERIES["spectral_modularity"](spark, "").first().q == pytest.approx(want)
+
+
+def test_set_covers_hold_little(spark, monkeypatch):
+    """Sorted batches give what the kernel gives of whole tables, also where a batch ends within a set and an element has a set's number; the registered query makes no frame of a graph."""
+    from weftline.plans import attack_queries as Q
+
+    rng = np.random.default_rng(3)
+    rows = sorted({(int(g), int(s), int(d)) for g, s, d in zip(rng.integers(0, 3, 900), rng.integers(0, 40, 900), rng.integers(0, 90, 900))})
+    want = []
+    for g in range(3):
+        src, dst = (np.array([r[k] for r in rows if r[0] == g]) for k in (1, 2))
+        want += [(g, *x) for x in V.set_cover(np.arange(130), src, dst + 40, None)]
+    monkeypatch.setattr(Q, "_supplied", lambda *_: spark.createDataFrame(rows + rows[::7], "graph_id int, src long, dst long").selectExpr("nullif(graph_id, 2) graph_id", "src", "dst"))
+    monkeypatch.setattr(Q.L, "per_graph", None)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")
+    try:
+        assert sorted((2 if g is None else g, *x) for g, *x in Q.set_cover(spark, "").collect()) == want
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
