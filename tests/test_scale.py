@@ -193,3 +193,18 @@ def test_betweenness_attack():
     piece = sparse(150, 350)
     src, dst = (np.concatenate([x + 150 * k for k in range(4)]) for x in piece[1:3])
     assert within(30, A.attack("betweenness"), (np.arange(600), src, dst, np.ones(len(src))))
+
+
+def test_closeness_of_many_pieces(monkeypatch):
+    """Searches of different pieces share their bits: 400 pieces of 150 nodes and a node alone take three passes, not 938."""
+    from weftline.operators import bfs
+
+    _, src, dst, _ = sparse(150, 350)
+    one = bfs.all_distance_sums(*bfs.sorted_links(150, src, dst))
+    src, dst = (np.concatenate([x + 150 * k for k in range(400)]) for x in (src, dst))
+    passes, levels = [], bfs.levels
+    monkeypatch.setattr(bfs, "levels", lambda *a: passes.append(1) or levels(*a))
+    got = bfs.all_distance_sums(*bfs.sorted_links(60_001, src, dst))
+    assert len(passes) <= 3
+    for a, b in zip(one, got):
+        assert (b[:-1] == np.tile(a, 400)).all() and b[-1] == 0
