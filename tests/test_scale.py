@@ -208,3 +208,17 @@ def test_closeness_of_many_pieces(monkeypatch):
     assert len(passes) <= 3
     for a, b in zip(one, got):
         assert (b[:-1] == np.tile(a, 400)).all() and b[-1] == 0
+
+
+def test_betweenness_of_many_pieces(monkeypatch):
+    """Searches have tables of their piece, not of the whole graph, and the same sums."""
+    from weftline.operators import bfs
+
+    _, src, dst, _ = sparse(150, 200)
+    src, dst = (np.concatenate([x + 150 * k for k in range(20)]) for x in (src, dst))
+    links, own = bfs.sorted_links(3001, src, dst), np.arange(0, 3001, 3)
+    want = bfs.dependencies(*links, own)
+    longest, passed = [], bfs._passed
+    monkeypatch.setattr(bfs, "_passed", lambda start, *a: longest.append(len(start)) or passed(start, *a))
+    assert np.allclose(bfs.by_piece(*links, own, group=100), want) and max(longest) < 300
+    assert len(bfs.by_piece(np.zeros(1, int), np.zeros(0, int), np.zeros(0, int))) == 0
